@@ -1,0 +1,38 @@
+"""Scalar operators with the engine's semantics, as column functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def divide(a: Column, b: Column, kind: T.DataType) -> Column:
+    """Division in the operands' type: integers truncate, floats do not."""
+    if isinstance(kind, _INTEGRAL):
+        return F.call_function("div", a, b).cast(kind)
+    return a / b
+
+
+def add_interval(date: Column, n: int, unit: str) -> Column:
+    """date + n units, as a date: units below a day do not change the type."""
+    unit = unit.upper().rstrip("S")
+    if unit in ("YEAR", "MONTH"):
+        return F.add_months(date, F.lit(n * (12 if unit == "YEAR" else 1)))
+    days = {"WEEK": 7, "DAY": 1}
+    if unit in days:
+        return F.date_add(date, F.lit(n * days[unit]))
+    if unit in ("HOUR", "MINUTE", "SECOND"):
+        return F.timestamp_add(unit, F.lit(n), date.cast("timestamp_ntz")).cast("date")
+    raise ValueError(f"unknown interval unit {unit}")
+
+
+def subtract_interval(date: Column, n: int, unit: str) -> Column:
+    return add_interval(date, -n, unit)
+
+
+def try_constant(text: str, spark_type: str) -> Column:
+    """A typed string constant: null if the text is no such value."""
+    return F.lit(text).try_cast(spark_type)

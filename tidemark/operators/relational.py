@@ -1,0 +1,63 @@
+"""Relational operators on DataFrames, with the engine's null order and names.
+
+Planning is Catalyst's: these functions only state what is wanted.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def project(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """Named expressions; strings are column names."""
+    return df.select(*[(F.col(e) if isinstance(e, str) else e).alias(n) for n, e in columns.items()])
+
+
+def where(df: DataFrame, *conditions: Column) -> DataFrame:
+    """Rows for which every condition is true; null counts as not true."""
+    for c in conditions:
+        df = df.where(c)
+    return df
+
+
+def equi_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner", residual: Column | None = None) -> DataFrame:
+    """Join on key pairs plus a condition that is part of the ON clause.
+
+    With an outer join a row whose only matches fail ``residual`` is kept with
+    nulls.  Null keys match nothing.
+    """
+    on = F.lit(True) if not keys else None
+    for a, b in keys:
+        test = left[a] == right[b]
+        on = test if on is None else on & test
+    return left.join(right, on if residual is None else on & residual, how)
+
+
+def aggregate(df: DataFrame, by: Sequence[str | Column], **aggregates: Column) -> DataFrame:
+    """Group by names or expressions; with no ``by`` one row comes out even for empty input."""
+    named = [e.alias(n) for n, e in aggregates.items()]
+    return df.groupBy(*by).agg(*named) if by else df.agg(*named)
+
+
+def order(df: DataFrame, *keys: tuple[str | Column, str]) -> DataFrame:
+    """Sort by (key, "asc" or "desc"); nulls come first either way."""
+    cols = []
+    for key, way in keys:
+        c = F.col(key) if isinstance(key, str) else key
+        cols.append(c.desc_nulls_first() if way == "desc" else c.asc_nulls_first())
+    return df.orderBy(*cols)
+
+
+def limit(df: DataFrame, n: int | None = None, offset: int = 0) -> DataFrame:
+    """``n`` rows after skipping ``offset``; either may be left out."""
+    if offset:
+        df = df.offset(offset)
+    return df if n is None else df.limit(n)
+
+
+def top_k(df: DataFrame, k: int, *keys: tuple[str | Column, str]) -> DataFrame:
+    """The first ``k`` rows in an order; no full sort is done."""
+    return order(df, *keys).limit(k)

@@ -1,6 +1,516 @@
-def queries():
-    return {}
+"""Queries of the reference inventory and their SQL.
 
+SQL queries run through the engine's own SQL surface, key-value queries through
+the operators of :mod:`tidemark.operators.kv`.  Keys begin with the inventory's
+handles.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import kv
+from tidemark.operators.bloom import bloom_filter
+from tidemark.plans.engine import Engine
+from tidemark.scratch import scratch_path
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+#: Queries whose text both engines read: key -> SQL.
+SQL = {
+    # S1,P1
+    "s1_scan_projection": "select o_orderkey, o_custkey, o_orderstatus from orders",
+    # S10,F14
+    "s10_select_constants": "select 1 as i, 'abc' as s, true as b, cast(2.5 as double) as d from region where r_regionkey=0",
+    # S11
+    "s11_values_list": "select col1 as id, col2 as name from values (1,'a'),(2,'b'),(3,null) t(col1,col2)",
+    # P2
+    "p2_qualified_wildcard": "select n.*, r.r_name from nation n join region r on n.n_regionkey=r.r_regionkey",
+    # P3
+    "p3_alias_in_where": "select r_regionkey+1 as a, r_name from region where a >= 2",
+    # P3,A2
+    "p3_alias_in_group_order": "select count(o_orderkey) as c1, o_orderstatus as c2 from orders group by c2 order by c1 desc",
+    # P4
+    "p4_table_alias": "select t.c_custkey, t.c_mktsegment from customer as t where t.c_acctbal > 0",
+    # P5,P6,F12
+    "p5_filter_and": "select o_orderkey from orders where o_totalprice > 1000 and o_orderstatus = 'O' and o_custkey < 50",
+    # P5,F12
+    "p5_filter_or": "select o_orderkey from orders where o_custkey > 100 or o_orderstatus = 'F'",
+    # J1,J7
+    "j1_inner": "select o.o_orderkey, c.c_name from orders o inner join customer c on o.o_custkey=c.c_custkey",
+    # J1
+    "j1_inner_multikey": (
+        "select a.l_orderkey, a.l_linenumber, b.l_quantity from lineitem a join lineitem b on "
+        "a.l_orderkey=b.l_orderkey and a.l_linenumber=b.l_linenumber"
+    ),
+    # J2,J10
+    "j2_left": "select c.c_custkey, o.o_orderkey from customer c left join orders o on c.c_custkey=o.o_custkey",
+    # J3
+    "j3_right": "select o.o_orderkey, c.c_custkey from orders o right join customer c on o.o_custkey=c.c_custkey",
+    # J4
+    "j4_full": "select c.c_custkey, s.s_suppkey from customer c full join supplier s on c.c_nationkey=s.s_nationkey",
+    # J5
+    "j5_left_residual": (
+        "select c.c_custkey, o.o_orderkey from customer c left join orders o on c.c_custkey=o.o_custkey and "
+        "o.o_totalprice > 100000"
+    ),
+    # J5
+    "j5_right_residual": (
+        "select o.o_orderkey, c.c_custkey from orders o right join customer c on o.o_custkey=c.c_custkey and "
+        "o.o_totalprice > c.c_acctbal*50"
+    ),
+    # J5
+    "j5_full_residual": (
+        "select c.c_custkey, s.s_suppkey from customer c full join supplier s on c.c_nationkey=s.s_nationkey and "
+        "c.c_acctbal > s.s_acctbal"
+    ),
+    # J5
+    "j5_inner_residual": (
+        "select c.c_custkey, s.s_suppkey from customer c join supplier s on c.c_nationkey=s.s_nationkey and "
+        "c.c_acctbal > s.s_acctbal"
+    ),
+    # J6
+    "j6_cross": "select r.r_name, n.n_name from region r cross join nation n where r.r_regionkey = 0",
+    # J6
+    "j6_comma": "select r.r_name, n.n_name from region r, nation n where n.n_nationkey < 3",
+    # J8
+    "j8_multiway_mixed": (
+        "select c.c_custkey, n.n_name, r.r_name from customer c left join nation n on c.c_nationkey=n.n_nationkey "
+        "right join region r on n.n_regionkey=r.r_regionkey"
+    ),
+    # J9
+    "j9_theta": "select s.s_suppkey, n.n_nationkey from supplier s join nation n on s.s_nationkey < n.n_nationkey",
+    # Q1
+    "q1_derived_nested": (
+        "select t2.k from (select t1.k, t1.v from (select o_orderkey as k, o_totalprice as v, o_custkey as c from "
+        "orders where o_custkey < 60) t1 where t1.v > 1000) t2 where t2.k > 10"
+    ),
+    # Q1,J6
+    "q1_derived_agg_cross": "select c.c_custkey, m.mx from customer c cross join (select max(c_acctbal) as mx from customer) m",
+    # Q2
+    "q2_scalar_select": (
+        "select c_custkey, (select max(o_orderkey) from orders) + (select min(o_orderkey) from orders) as mix from "
+        "customer"
+    ),
+    # Q3
+    "q3_scalar_where": (
+        "select o_orderkey from orders where o_totalprice >= (select max(o_totalprice) from orders) or o_orderkey "
+        "= (select min(o_orderkey) from orders)"
+    ),
+    # A1,A3,A5,A7,A8
+    "a1_global": (
+        "select count(o_orderkey) as c, cast(sum(o_custkey) as bigint) as s, min(o_orderkey) as mn, "
+        "max(o_orderpriority) as mx from orders"
+    ),
+    # A1 (D10)
+    "a1_global_empty": (
+        "select count(o_orderkey) as c, cast(sum(o_custkey) as bigint) as s, max(o_orderkey) as mx from orders "
+        "where o_orderkey < 0"
+    ),
+    # A2
+    "a2_group_multi": (
+        "select l_returnflag, l_linestatus, count(l_orderkey) as c, cast(sum(cast(l_quantity as bigint)) as "
+        "bigint) as q, min(l_shipdate) as mn, max(l_extendedprice) as mx from lineitem group by l_returnflag, "
+        "l_linestatus"
+    ),
+    # A2
+    "a2_group_expr": "select o_custkey % 7 as g, count(o_orderkey) as c from orders group by o_custkey % 7",
+    # A2 (D9)
+    "a2_group_null_keys": (
+        "select nullif(o_orderstatus,'O') as k, nullif(o_custkey % 3, 0) as k2, count(o_orderkey) as c from orders "
+        "group by nullif(o_orderstatus,'O'), nullif(o_custkey % 3, 0)"
+    ),
+    # A4
+    "a4_count_distinct": "select count(distinct o_custkey) as c from orders",
+    # A6
+    "a6_sum_distinct_group": "select o_orderstatus, cast(sum(distinct o_custkey) as bigint) as s from orders group by o_orderstatus",
+    # A5
+    "a5_sum_cents": (
+        "select o_orderstatus, cast(sum(cast(round(o_totalprice*100) as bigint)) as bigint) as cents from orders "
+        "group by o_orderstatus"
+    ),
+    # A9
+    "a9_arith_on_agg": "select cast(sum(o_custkey+1) as bigint) + 1 as v, max(o_orderkey)-min(o_orderkey) as r from orders",
+    # A10
+    "a10_distinct_multi": "select distinct o_orderstatus, o_orderpriority from orders",
+    # O1,O3
+    "o1_sort_desc_nulls_first": "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g desc nulls first, o_orderkey limit 40",
+    # O2,O3
+    "o2_sort_hidden_col": "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 10",
+    # O3
+    "o3_limit_offset": "select o_orderkey from orders order by o_orderkey limit 5 offset 7",
+    # O3
+    "o3_offset_only": "select n_nationkey from nation order by n_nationkey offset 20",
+    # O3
+    "o3_limit_zero": "select o_orderkey from orders limit 0",
+    # O4
+    "o4_topk": (
+        "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, "
+        "l_linenumber limit 20"
+    ),
+    # F1,F2,F3
+    "f1_f3_arith": "select o_orderkey+o_custkey as a, o_orderkey-o_custkey as s, o_orderkey*o_custkey as m from orders",
+    # F4
+    "f4_int_div": "select o_orderkey, o_orderkey / 7 as d from orders",
+    # F5
+    "f5_modulo": "select o_orderkey, o_orderkey % 7 as r from orders",
+    # F4
+    "f4_float_div": "select o_orderkey, o_totalprice / 4 as d from orders",
+    # F6,F9
+    "f6_date_plus_day": "select o_orderkey, cast(o_orderdate as date) + interval '1' day as d from orders",
+    # F7
+    "f7_interval_plus_month": "select o_orderkey, interval '1' month + cast(o_orderdate as date) as d from orders",
+    # F7
+    "f7_interval_plus_year": "select o_orderkey, interval '1' year + cast(o_orderdate as date) as d from orders",
+    # F8 (D11)
+    "f8_date_minus": (
+        "select o_orderkey, cast(o_orderdate as date) - interval '1' day as d, cast(o_orderdate as date) - "
+        "interval '1' month as m from orders"
+    ),
+    # F11
+    "f11_compare_all": (
+        "select o_orderkey, o_custkey = 5 as eq, o_custkey <> 5 as ne, o_custkey < 5 as lt, o_custkey <= 5 as le, "
+        "o_custkey > 5 as gt, o_orderstatus >= 'O' as ge from orders"
+    ),
+    # F12
+    "f12_kleene": (
+        "select c_custkey, (nullif(c_custkey % 3, 0) > 1 and c_acctbal > 0) as x, (nullif(c_custkey % 3, 0) > 1 or "
+        "c_acctbal > 0) as y from customer"
+    ),
+    # F13
+    "f13_cast_widen": "select cast(n_nationkey as bigint) as b, cast(n_nationkey as double) as d from nation",
+    # P5
+    "p5_filter_null_dropped": "select c_custkey from customer where nullif(c_custkey % 3, 0) > 1",
+    # A3,A4 (D6)
+    "a4_count_distinct_nulls": (
+        "select count(nullif(o_custkey % 4, 0)) as c, count(distinct nullif(o_custkey % 4, 0)) as cd, "
+        "cast(sum(distinct nullif(o_custkey % 4, 0)) as bigint) as sd from orders"
+    ),
+    # J1 (D9)
+    "j1_null_keys_do_not_match": (
+        "select count(a.c_custkey) as c from customer a join customer b on nullif(a.c_custkey % 50, 0) = "
+        "nullif(b.c_custkey % 50, 0)"
+    ),
+    # O1
+    "o1_sort_asc_nulls_first": "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g asc nulls first, o_orderkey limit 40",
+}
+
+#: Oracle texts that differ from the engine's.
+ORACLE = {
+    "s11_values_list": "select col1 as id, col2 as name from (values (1,'a'),(2,'b'),(3,null)) t(col1,col2)",
+    "f4_int_div": "select o_orderkey, o_orderkey // 7 as d from orders",
+    "f6_date_plus_day": "select o_orderkey, cast(cast(o_orderdate as date) + interval '1' day as date) as d from orders",
+    "f7_interval_plus_month": "select o_orderkey, cast(cast(o_orderdate as date) + interval '1' month as date) as d from orders",
+    "f7_interval_plus_year": "select o_orderkey, cast(cast(o_orderdate as date) + interval '1' year as date) as d from orders",
+    "f8_date_minus": (
+        "select o_orderkey, cast(cast(o_orderdate as date) - interval '1' day as date) as d, cast(cast(o_orderdate "
+        "as date) - interval '1' month as date) as m from orders"
+    ),
+}
+
+# -- key-value queries: user_id is the key, event_id the seq, an error event a tombstone
+
+SNAPSHOT = 500
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    vtype = F.when(F.col("event_type") == "error", kv.TOMBSTONE).otherwise(kv.VALUE)
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), vtype.alias("vtype"), "value")
+
+
+def _kv(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").alias("k"), "seq", F.col("value").alias("v"))
+
+
+def k1_k2_put_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Puts and deletes appended over a base; the later ones win."""
+    log = _log(spark, d)
+    top = 1_000_000_000
+    more = log.where(F.col("key") < 20).select("key").distinct()
+    vtype = F.when(F.col("key") % 2 == 0, kv.TOMBSTONE).otherwise(kv.VALUE)
+    more = more.select("key", (F.col("key") + top).alias("seq"), vtype.alias("vtype"), F.lit(1.5).alias("value"))
+    return _kv(kv.visible(log.unionByName(more)))
+
+
+def k3_write_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Sequence numbers of an ordered batch: base, base + 1, ..."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
+    return kv.sequence(events, ["ts", "event_id"], 100).select("event_id", "seq")
+
+
+def k4_get_latest(spark: SparkSession, d: str) -> DataFrame:
+    return _kv(kv.visible(kv.between(_log(spark, d), 3, 4)))
+
+
+def k5_snapshot_get(spark: SparkSession, d: str) -> DataFrame:
+    return _kv(kv.visible(_log(spark, d), SNAPSHOT))
+
+
+def k7_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _kv(kv.scan(_log(spark, d)))
+
+
+def k8_reverse_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _kv(kv.scan(_log(spark, d), reverse=True).limit(25))
+
+
+def k9_range_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _kv(kv.scan(_log(spark, d), start=3, end=9))
+
+
+def k9_seek(spark: SparkSession, d: str) -> DataFrame:
+    return _kv(kv.seek(_log(spark, d), 10))
+
+
+def k9_prefix_scan(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d).withColumn("key", F.concat(F.lit("user/"), F.col("key").cast("string")))
+    return _kv(kv.scan(log, prefix="user/1"))
+
+
+def k10_merge_runs(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d)
+    runs = [log.where(F.col("seq") % 3 == i) for i in range(3)]
+    return kv.merge_runs(runs).select(F.col("key").alias("k"), "seq", F.col("vtype").alias("vt"))
+
+
+def k12_comparator(spark: SparkSession, d: str) -> DataFrame:
+    """Range scan in the order of another expression of the key."""
+    return _kv(kv.scan(_log(spark, d), start=-20, end=-10, order=-F.col("key")))
+
+
+def k14_compaction(spark: SparkSession, d: str) -> DataFrame:
+    return kv.compact(_log(spark, d), SNAPSHOT).select(F.col("key").alias("k"), "seq", F.col("vtype").alias("vt"))
+
+
+def k16_approx_size(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    log = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.lit(1).alias("vtype"), F.col("props").alias("value"))
+    return kv.approximate_size(log, 3, 9).select(F.col("bytes").alias("b"))
+
+
+def k17_bloom_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Point reads through a Bloom filter: keys that pass are then looked up exactly."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    customers = spark.read.parquet(f"{d}/customer.parquet").where(F.col("c_acctbal") > 5000)
+    passed = orders.where(bloom_filter(customers, "c_custkey").might_contain(F.col("o_custkey")))
+    return passed.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey")
+
+
+def k25_request_service(spark: SparkSession, d: str) -> DataFrame:
+    """ListKV over UpdateKV: the value a read finds at its seq (0: the latest); tombstone updates are not stored."""
+    upd = spark.read.parquet(f"{d}/update_kv_request.parquet").where(F.col("value_type") == 0)
+    ask = spark.read.parquet(f"{d}/list_kv_request.parquet")
+    seen = upd.select(F.col("tenant").alias("t"), F.col("key").alias("k"), F.col("seq").alias("s"), F.col("value").alias("v")).distinct()
+    at = (F.col("key") == F.col("k")) & (F.col("tenant") == F.col("t")) & ((F.col("seq") == 0) | (F.col("s") <= F.col("seq")))
+    found = ask.join(seen, at, "left").groupBy("request_id").agg(F.max(F.struct("s", "v")).alias("x"))
+    return found.select("request_id", F.col("x.s").alias("seq"), F.col("x.v").alias("value"))
+
+
+# -- sources, sinks and definitions: each goes through files or tables that it makes itself
+
+
+def _with_engine(spark: SparkSession, d: str, script: str, **tables: str) -> DataFrame:
+    engine = Engine(spark)
+    for name in tables or TABLES:
+        engine.register_parquet(name, f"{d}/{name}.parquet")
+    return engine.sql(script)
+
+
+def _nation_csv(spark: SparkSession, d: str, **options) -> str:
+    path = scratch_path(spark, "nation") + ".csv"
+    spark.read.parquet(f"{d}/nation.parquet").coalesce(1).write.options(**options).csv(path)
+    return path
+
+
+_NATION = "select cast(n_nationkey as int) as n_nationkey, n_name, cast(n_regionkey as int) as n_regionkey from "
+
+
+def s2_csv_table(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.register_csv("nation_csv", _nation_csv(spark, d, header=True))
+    return engine.sql(_NATION + "nation_csv")
+
+
+def s3_memory_table(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.register_rows("mem", [(1, "a"), (2, ""), (3, None)], "id bigint, name string")
+    return engine.sql("select id, name from mem where id < 3")
+
+
+def s5_append_table(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table t(k bigint, s varchar); insert into t select o_orderkey, o_orderstatus from orders; "
+                        "insert into t select o_orderkey, 'again' from orders where o_custkey < 100; select k, s from t")
+
+
+def s6_seq_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "select r_regionkey, r_name from seq_table_scan(region) r")
+
+
+def s7_read_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = _nation_csv(spark, d, header=False, sep="|")
+    return Engine(spark).sql(
+        f"select column_1 as n_nationkey, column_2 as n_name, column_3 as n_regionkey from read_csv('{path}', header=>false, delim=>'|')"
+    )
+
+
+def s8_replacement_scan(spark: SparkSession, d: str) -> DataFrame:
+    return Engine(spark).sql(_NATION + f"'{_nation_csv(spark, d, header=True)}' t where t.n_regionkey > 1")
+
+
+def s18_create_table_as(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table big as select o_orderkey, o_totalprice from orders where o_totalprice > 300000; select o_orderkey, o_totalprice from big")
+
+
+def s19_insert_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table t(a int unsigned, b varchar, c date); insert into t(c, a) select cast(o_orderdate as date), o_custkey from orders; select a, b, c from t")
+
+
+def s20_copy_from(spark: SparkSession, d: str) -> DataFrame:
+    path = _nation_csv(spark, d, header=True, sep="|")
+    return Engine(spark).sql(
+        f"create table n(n_nationkey int, n_name varchar, n_regionkey int); copy n from '{path}' (delimiter '|', header); select n_nationkey, n_name, n_regionkey from n"
+    )
+
+
+def s13_s15_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table made(a int, b varchar); select table_name from query_tables() where table_name = 'made' or table_name = 'region'")
+
+
+def s14_s16_describe(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table made(a int, b smallint unsigned, c varchar); describe made")
+
+
+def s21_explain(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "explain select o_orderkey from orders where o_custkey = 1").select("type")
+
+
+def f10_typed_constants(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "select n_nationkey, integer '12' as i, date '2020-02-30' as bad, date '2020-02-29' as good from nation")
+
+
+def f9_interval_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units below a day keep the type a date."""
+    day = "cast(o_orderdate as date)"
+    return _with_engine(spark, d, f"select o_orderkey, {day} + interval '36' hour as h, {day} - interval '1' minute as m, {day} + interval '2' week as w from orders")
+
+
+def u1_u3_functions(spark: SparkSession, d: str) -> DataFrame:
+    """A vectorized scalar function registered for SQL."""
+    engine = Engine(spark)
+    engine.register_parquet("nation", f"{d}/nation.parquet")
+
+    @F.pandas_udf("bigint")
+    def doubled(x: pd.Series) -> pd.Series:
+        return x.astype("int64") * 2
+
+    engine.register_udf("doubled", doubled)
+    return engine.sql("select n_nationkey, doubled(n_regionkey) as twice from nation")
+
+
+def u2_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """A table function registered for SQL."""
+
+    @F.udtf(returnType="n int, square int")
+    class Squares:
+        def eval(self, upto: int):
+            for i in range(upto):
+                yield i, i * i
+
+    engine = Engine(spark)
+    engine.register_udtf("squares", Squares)
+    return engine.sql("select n, square from squares(10)")
+
+
+_FUNCTIONS = [
+    k1_k2_put_delete, k3_write_batch, k4_get_latest, k5_snapshot_get, k7_scan, k8_reverse_scan, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
+    k12_comparator, k14_compaction, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table,
+    s6_seq_table_scan, s7_read_csv, s8_replacement_scan, s18_create_table_as, s19_insert_columns, s20_copy_from, s13_s15_catalog, s14_s16_describe, s21_explain,
+    f9_interval_units, f10_typed_constants, u1_u3_functions, u2_table_function,
+]
+
+
+def _sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    words = set(re.findall(r"\w+", text))
+    used = [t for t in TABLES if t in words]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        engine = Engine(spark)
+        for t in used:
+            engine.register_parquet(t, f"{d}/{t}.parquet")
+        return engine.sql(text)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: _sql_query(v) for k, v in SQL.items()} | {f.__name__: f for f in _FUNCTIONS}
+
+
+_EVENTS = "(select user_id as k, event_id as seq, case when event_type = 'error' then 0 else 1 end as vt, value as v from events)"
+
+
+def _newest(log: str, where: str = "true") -> str:
+    return (
+        "select k, seq, v from (select *, row_number() over (partition by k order by seq desc) as rn "
+        f"from {log} l where {where}) t where rn = 1 and vt = 1"
+    )
+
+
+_ADDED = f"""
+  (select k, seq, vt, v from {_EVENTS} union all
+   select distinct user_id, user_id + 1000000000, case when user_id % 2 = 0 then 0 else 1 end, 1.5 from events where user_id < 20)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    found = {k: ORACLE.get(k, v) for k, v in SQL.items()}
+    nation = "select n_nationkey, n_name, n_regionkey from nation"
+    return found | {
+        "k1_k2_put_delete": _newest(_ADDED),
+        "k3_write_batch": "select event_id, 99 + row_number() over (order by ts, event_id) as seq from events",
+        "k4_get_latest": _newest(_EVENTS, "k = 3"),
+        "k5_snapshot_get": _newest(_EVENTS, f"seq <= {SNAPSHOT}"),
+        "k7_scan": _newest(_EVENTS),
+        "k8_reverse_scan": _newest(_EVENTS) + " order by k desc limit 25",
+        "k9_range_scan": _newest(_EVENTS, "k >= 3 and k < 9"),
+        "k9_seek": _newest(_EVENTS, "k >= 10") + " order by k limit 1",
+        "k9_prefix_scan": f"select 'user/' || k as k, seq, v from ({_newest(_EVENTS)}) where 'user/' || k like 'user/1%'",
+        "k10_merge_runs": f"select k, seq, vt from {_EVENTS}",
+        "k12_comparator": _newest(_EVENTS, "-k >= -20 and -k < -10"),
+        "k14_compaction": (
+            f"select k, seq, vt from (select *, lag(seq) over (partition by k order by seq desc) as newer from {_EVENTS} l) t "
+            f"where not (coalesce(newer <= {SNAPSHOT}, false) or (vt = 0 and seq <= {SNAPSHOT}))"
+        ),
+        "k16_approx_size": "select cast(sum(length(cast(user_id as varchar)) + length(props)) as bigint) as b from events where user_id >= 3 and user_id < 9",
+        "k17_bloom_filter": "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 5000)",
+        "k25_request_service": """
+          select request_id, useq as seq, value from (
+            select r.request_id, u.seq as useq, u.value,
+              row_number() over (partition by r.request_id order by u.seq desc nulls last, u.value desc nulls last) as rn
+            from list_kv_request r left join update_kv_request u on u.value_type = 0 and u.tenant = r.tenant and u.key = r.key
+              and (r.seq = 0 or u.seq <= r.seq)) where rn = 1""",
+        "s2_csv_table": nation,
+        "s3_memory_table": "select cast(id as bigint) as id, name from (values (1, 'a'), (2, '')) t(id, name)",
+        "s5_append_table": "select o_orderkey as k, o_orderstatus as s from orders union all select o_orderkey, 'again' from orders where o_custkey < 100",
+        "s6_seq_table_scan": "select r_regionkey, r_name from region",
+        "s7_read_csv": nation,
+        "s8_replacement_scan": nation + " where n_regionkey > 1",
+        "s18_create_table_as": "select o_orderkey, o_totalprice from orders where o_totalprice > 300000",
+        "s19_insert_columns": "select o_custkey as a, cast(null as varchar) as b, cast(o_orderdate as date) as c from orders",
+        "s20_copy_from": nation,
+        "s13_s15_catalog": "select 'made' as table_name union all select 'region'",
+        "s14_s16_describe": "select 'made' as table_name, '[a, b, c]' as column_names, '[Integer, USmallint, Varchar]' as column_types",
+        "s21_explain": "select unnest(['logical_plan', 'logical_plan_opt', 'physical_plan']) as type",
+        "f9_interval_units": """
+          select o_orderkey, cast(o_day + interval '36' hour as date) as h, cast(o_day - interval '1' minute as date) as m,
+            cast(o_day + interval '14' day as date) as w
+          from (select o_orderkey, cast(o_orderdate as date) as o_day from orders)""",
+        "f10_typed_constants": "select n_nationkey, 12 as i, cast(null as date) as bad, date '2020-02-29' as good from nation",
+        "u1_u3_functions": "select n_nationkey, cast(n_regionkey * 2 as bigint) as twice from nation",
+        "u2_table_function": "select cast(i as int) as n, cast(i * i as int) as square from range(10) t(i)",
+    }
