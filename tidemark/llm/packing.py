@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from tidemark.scratch import col
 
 #: Number of harmonic classes; shorter texts than capacity / CLASSES share one class.
 CLASSES = 24
-#: Closed packs whose room a task remembers for short texts.
+#: Closed packs whose room a task remembers.
 REMEMBERED = 4_096
 
 SCHEMA = "pack_name string, pack_id string, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint"
@@ -24,25 +24,40 @@ class HarmonicPacker:
     """Packs for one capacity, filled in one pass by one worker.
 
     Class j (1 <= j < classes) takes the sizes in (C / (j + 1), C / j]; its packs
-    hold exactly j texts, so whatever they are they fit.  A text of class j goes
-    into the class's open pack, which is closed after its j-th text.  Shorter
-    texts (at most C / classes) first use the room left in closed packs, the
-    roomiest first, and else fill packs of their own until the next does not fit.
+    hold exactly j texts of the class, so whatever they are they fit.  A text of
+    class j goes into the class's open pack, which is closed after its j-th text.
+    Shorter texts (at most C / classes) fill packs of their own until the next
+    does not fit.  Before it opens a pack, or takes a place in one, a text of
+    class 2 or more uses the room that a closed pack has left, if one has enough;
+    of several the one with the least room is taken.
     """
 
     def __init__(self, capacity: int, classes: int = CLASSES) -> None:
         self.capacity, self.classes = capacity, classes
         self.open: dict[int, list[int]] = {}  # class -> [pack, texts, tokens]
         self.packs = 0
-        self.room: list[tuple[int, int]] = []
-
-    def _close(self, pack: int, used: int) -> None:
-        room = self.capacity - used
-        if room:
-            heapq.heappush(self.room, (-room, pack))
-            if len(self.room) > 2 * REMEMBERED:
-                self.room = heapq.nsmallest(REMEMBERED, self.room)
-                heapq.heapify(self.room)
+        self.rooms: list[int] = []  # ascending sizes of the rooms below, each size once
+        self.having: dict[int, list[int]] = {}  # room -> packs that have it
+        self.remembered = 0
+
+    def _close(self, pack: int, room: int) -> None:
+        if room < 1:
+            return
+        if room not in self.having:
+            bisect.insort(self.rooms, room)
+            self.having[room] = []
+        self.having[room].append(pack)
+        self.remembered += 1
+        if self.remembered > REMEMBERED:  # the least room is the least use
+            self._take(0)
+
+    def _take(self, at: int) -> int:
+        room = self.rooms[at]
+        pack = self.having[room].pop()
+        self.remembered -= 1
+        if not self.having[room]:
+            del self.having[room], self.rooms[at]
+        return pack
 
     def _new(self) -> int:
         self.packs += 1
@@ -51,29 +66,24 @@ class HarmonicPacker:
     def place(self, size: int) -> int:
         """Pack number for a text of 1 <= size <= capacity tokens."""
         j = self.capacity // size
-        if j >= self.classes:
-            if self.room and -self.room[0][0] >= size:
-                room, pack = self.room[0]
-                if -room > size:
-                    heapq.heapreplace(self.room, (room + size, pack))
-                else:
-                    heapq.heappop(self.room)
+        if j > 1:
+            at = bisect.bisect_left(self.rooms, size)
+            if at < len(self.rooms):
+                room = self.rooms[at]
+                pack = self._take(at)
+                self._close(pack, room - size)
                 return pack
-            o = self.open.get(0)
-            if o is not None and o[2] + size > self.capacity:
-                self._close(o[0], o[2])
-                o = None
-            if o is None:
-                o = self.open[0] = [self._new(), 0, 0]
-            o[1] += 1
-            o[2] += size
-            return o[0]
-        o = self.open.get(j) or [self._new(), 0, 0]
+        if j >= self.classes:
+            j = 0
+        o = self.open.pop(j, None)
+        if o is not None and o[2] + size > self.capacity:  # only in the class of short texts
+            self._close(o[0], self.capacity - o[2])
+            o = None
+        o = o or [self._new(), 0, 0]
         o[1] += 1
         o[2] += size
         if o[1] == j:
-            self.open.pop(j, None)
-            self._close(o[0], o[2])
+            self._close(o[0], self.capacity - o[2])
         else:
             self.open[j] = o
         return o[0]
