@@ -22,6 +22,8 @@ class BloomFilter:
     @property
     def false_positive_rate(self) -> float:
         """Expected share of absent keys that pass."""
+        if not self.keys:
+            return 0.0
         if self._data is None:
             return 1.0
         k = max(1, round(self.bits / max(self.keys, 1) * math.log(2)))
@@ -30,7 +32,7 @@ class BloomFilter:
     def might_contain(self, key: Column) -> Column:
         """False only if the key is certainly absent; null for a null key."""
         if self._data is None:
-            return F.when(key.isNotNull(), F.lit(True))
+            return F.when(key.isNotNull(), F.lit(self.keys > 0))
         jvm = self._spark.sparkContext._jvm
         utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
         test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
@@ -48,13 +50,13 @@ def bloom_filter(df: DataFrame, key: str, *, bits_per_key: int = 10, max_bits: i
     ``bits_per_key`` bits a key up to ``max_bits``; with more keys than that it
     grows less selective, not larger.  If it would let nearly everything through
     (under two bits a key), or the session has no JVM classes to test it with,
-    no filter is built and every key passes.
+    no filter is built and every key passes.  Over an empty column none does.
     """
     keys = df.where(col(key).isNotNull()).select(F.xxhash64(col(key)).alias("h"))
     n = keys.agg(F.approx_count_distinct("h", 0.02)).first()[0]
     bits = max(64, min(max_bits, n * bits_per_key))
     data = None
-    if bits >= 2 * n:
+    if n and bits >= 2 * n:
         try:
             jvm = df.sparkSession.sparkContext._jvm
             made = keys._jdf.stat().bloomFilter("h", max(n, 1), bits)
