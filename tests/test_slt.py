@@ -1,0 +1,39 @@
+"""SQL logic tests: the scripts in tests/slt, each on an engine of its own."""
+
+from pathlib import Path
+
+import pytest
+
+from tidemark.plans.engine import Engine
+from tidemark.plans.render import rows_text
+
+HERE = Path(__file__).parent
+
+
+def records(path):
+    for block in path.read_text().split("\n\n"):
+        lines = [x for x in block.strip("\n").split("\n") if not x.startswith("#")]
+        if lines and lines[0]:
+            yield lines
+
+
+@pytest.mark.parametrize("path", sorted((HERE / "slt").glob("*.slt")), ids=lambda p: p.stem)
+def test_script(spark, path, monkeypatch):
+    monkeypatch.chdir(HERE.parent)
+    with Engine(spark) as engine:
+        for name in ("employee", "department", "state", "t1", "t2"):
+            engine.register_csv(name, f"tests/csv/{name}.csv")
+        for lines in records(path):
+            head = lines[0].split()
+            cut = lines.index("----") if "----" in lines else len(lines)
+            sql, want = "\n".join(lines[1:cut]), lines[cut + 1 :]
+            if head[:2] == ["statement", "error"]:
+                with pytest.raises(Exception):  # noqa: B017
+                    [df.collect() for df in engine.run(sql)]
+            elif head[0] == "statement":
+                engine.run(sql)
+            else:
+                got = rows_text(engine.sql(sql))
+                if "rowsort" in head:
+                    got, want = sorted(got), sorted(want)
+                assert got == want, sql

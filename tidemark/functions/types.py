@@ -62,7 +62,7 @@ def store(value: Column, name: str) -> Column:
     """Cast for storing into a column of logical type ``name``; what does not fit is an error."""
     if name in UNSIGNED_MAX:
         wide = value.cast("decimal(38,0)")
-        fits = wide.isNull() | wide.between(F.lit(0), F.lit(UNSIGNED_MAX[name]).cast("decimal(38,0)"))
+        fits = wide.isNull() | wide.between(F.lit(0), F.lit(str(UNSIGNED_MAX[name])).cast("decimal(38,0)"))
         error = F.raise_error(F.concat(F.lit(f"value out of range for {name}: "), wide.cast("string")))
         return F.when(fits, wide).otherwise(error.cast("decimal(38,0)")).cast(SPARK[name])
     return value.cast(spark_type(name))
