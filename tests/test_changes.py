@@ -34,7 +34,7 @@ def model(feed, base=()):
 def test_state(spark, target_rows):
     feed = make(1500, 1)
     df = spark.createDataFrame(feed, SCHEMA)
-    got = apply_changes(df, ["tenant", "key"], "seq", "kind", ["value"], target_rows=target_rows, heavy_share=0.02)
+    got = apply_changes(df, ["tenant", "key"], "seq", "kind", ["value"], target_rows=target_rows)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, model(feed)))
 
 

@@ -50,15 +50,23 @@ def _signed_sum(versions: DataFrame, group: list[str], payload: list[str], keep_
     return net.where(F.col("m") > 0).drop("m")
 
 
-def _hot_groups(versions: DataFrame, total: int, target_rows: int, share: float) -> list:
-    """(key hash, lowest seq, highest seq, blocks) of the keys with very many changes, from a sample."""
+#: Rows of the sample that a key must have to be cut into blocks; bounds the list of such keys.
+LEAST_SAMPLED = 20
+
+
+def _hot_groups(versions: DataFrame, total: int, target_rows: int) -> list:
+    """(key hash, lowest seq, highest seq, blocks) of the keys with very many changes.
+
+    They are taken from a sample of about SAMPLE_ROWS rows, so there are at most
+    SAMPLE_ROWS / LEAST_SAMPLED of them, about 20,000.
+    """
     fraction = min(1.0, SAMPLE_ROWS / max(total, 1))
     s = versions.select("h", "seq")
     if fraction < 1:
         s = s.sample(False, fraction, 11)
-    least = max(share * total * fraction, target_rows * fraction)
+    least = max(LEAST_SAMPLED, target_rows * fraction)
     g = s.groupBy("h").agg(F.count("*").alias("c"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    found = g.where((F.col("c") >= least) & (F.col("hi") > F.col("lo"))).limit(math.ceil(2 / share)).collect()
+    found = g.where((F.col("c") >= least) & (F.col("hi") > F.col("lo"))).collect()
     return [(r["h"], r["lo"], r["hi"], math.ceil(r["c"] / fraction / target_rows) + 1) for r in found]
 
 
@@ -71,7 +79,6 @@ def apply_changes(
     *,
     base: DataFrame | None = None,
     target_rows: int = 200_000,
-    heavy_share: float = 0.001,
 ) -> DataFrame:
     """Current rows of the table that ``feed`` describes: ``key``, ``seq``, ``payload``.
 
@@ -88,8 +95,8 @@ def apply_changes(
 
     A key with very many changes is cut into blocks of its seq range, each summed
     in a task of its own; the blocks' net versions are then summed once more.
-    Which keys are cut is decided on a sample (at most ``2 / heavy_share`` keys);
-    the result is the same for any decision.
+    Which keys are cut is decided on a sample (about 20,000 keys at most, which
+    is what is broadcast); the result is the same for any decision.
 
     Nulls in key columns are values like others, as are null and empty payloads.
     An empty feed gives the base, or nothing.  Other columns are ignored.
@@ -116,19 +123,17 @@ def apply_changes(
 
     h = F.xxhash64(*k)
     total = feed.count()
-    hot = _hot_groups(rows.withColumn("h", h), total, target_rows, heavy_share)
+    hot = _hot_groups(rows.withColumn("h", h), total, target_rows)
     if not hot:
         out = _signed_sum(one, k, p, keep_deletes=False)
     else:
-        hs = [x[0] for x in hot]
-        block = F.lit(0)
-        for kh, lo, hi, n in hot:
-            # monotone in seq, and clamped, so a bound that the sample missed only makes an end block larger
-            cut = F.floor((F.col("seq").cast("double") - float(lo)) / (float(hi) - float(lo)) * n)
-            block = F.when(F.col("h") == kh, F.greatest(F.lit(0), F.least(F.lit(n - 1), cut))).otherwise(block)
-        marked = one.withColumn("h", h)
-        cold = _signed_sum(marked.where(~F.col("h").isin(hs)), k, p, keep_deletes=False)
-        blocks = marked.where(F.col("h").isin(hs)).withColumn("block", block.cast("bigint"))
+        table = F.broadcast(feed.sparkSession.createDataFrame(hot, "hh bigint, lo bigint, hi bigint, blocks int"))
+        cold = _signed_sum(one.join(table, h == F.col("hh"), "left_anti"), k, p, keep_deletes=False)
+        # monotone in seq, and clamped, so a bound that the sample missed only makes an end block larger
+        lo, hi, n = F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("blocks")
+        cut = F.floor((F.col("seq").cast("double") - lo) / (hi - lo) * n)
+        block = F.greatest(F.lit(0), F.least(n - 1, cut)).cast("bigint").alias("block")
+        blocks = one.join(table, h == F.col("hh")).select(*k, "seq", "op", *p, block)
         net = _signed_sum(blocks, [*k, "block"], p, keep_deletes=True).drop("block")
         out = cold.select(*k, "seq", *p).unionByName(_signed_sum(net, k, p, keep_deletes=False).select(*k, "seq", *p))
     return out.select(

@@ -12,22 +12,33 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.scratch import col
+from tidemark.scratch import col, shuffle_partitions
 
 #: Rows that the heavy-key sample has at most on average.
 SAMPLE_ROWS = 400_000
+#: A key with fewer rows than this is never worth a way of its own.
+MIN_HEAVY_ROWS = 50_000
 #: Rows of the smaller side that may be broadcast for heavy keys.
 BROADCAST_ROWS = 100_000
 
 
+def balanced_share(spark: SparkSession) -> float:
+    """Share from which a key counts as heavy: what two average shuffle partitions hold.
+
+    A lighter key cannot make a task much longer than the others.  It lies
+    between 0.2 % and 0.01 %, which bounds the number of heavy keys by 20,000.
+    """
+    return max(1e-4, min(2e-3, 2 / shuffle_partitions(spark)))
+
+
 def heavy_keys(
     df: DataFrame,
     key: Column,
     *,
-    share: float = 0.005,
+    share: float | None = None,
     sample_rows: int = SAMPLE_ROWS,
     min_rows: int = 0,
     total: int | None = None,
@@ -36,12 +47,14 @@ def heavy_keys(
     """Values of ``key`` that hold about ``share`` of all rows of ``df`` or more.
 
     A Bernoulli sample of about ``sample_rows`` rows is counted; a key passes if
-    its share of the sample is at least half of ``share``, so a key that truly
-    holds ``share`` is missed with a probability below 1e-50 at the default
-    sample (an expected count of 2,000 would have to come out below 1,000).
+    its share of the sample is at least half of ``share``.  At 1 % a key is
+    missed with a probability below 1e-50 (an expected count of 4,000 would have
+    to come out below 2,000), at the least share, 0.01 %, with about 0.1 %.
     Null is never returned.  An empty input gives an empty list.  ``min_rows``
-    drops keys estimated to hold fewer rows.
+    drops keys estimated to hold fewer rows.  ``share`` is
+    :func:`balanced_share` by default.
     """
+    share = balanced_share(df.sparkSession) if share is None else share
     n = df.count() if total is None else total
     if not n:
         return []
@@ -87,7 +100,7 @@ def skew_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how}")
     if heavy is None:
-        heavy = heavy_keys(left, col(left_key), share=0.002, min_rows=50_000)
+        heavy = heavy_keys(left, col(left_key), min_rows=MIN_HEAVY_ROWS)
     lk, rk = col(left_key), col(right_key)
     on = lk == rk
     if residual is not None:
@@ -126,7 +139,7 @@ def per_key_results(
     dim: DataFrame | None = None,
     dim_key: str | None = None,
     dim_columns: Sequence[str] = (),
-    share: float = 0.005,
+    share: float | None = None,
     salts: int = 32,
     heavy: Sequence | None = None,
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers that came more than once, from the compacted stores."""
     req = spark.read.parquet(f"{d}/update_kv_request.parquet")
     res = spark.read.parquet(f"{d}/update_kv_response.parquet")
-    once_req = deduplicate(req, ["tenant", "seq"], ["arrived_at", "delivery_id"], batch_by="batch_id")
-    once_res = deduplicate(res, ["tenant", "seq"], ["answered_at", "response_id"], batch_by="answered_at")
+    with ThreadPoolExecutor(2) as pool:  # the two stores have nothing to do with each other
+        a = pool.submit(deduplicate, req, ["tenant", "seq"], ["arrived_at", "delivery_id"], batch_by="batch_id")
+        b = pool.submit(deduplicate, res, ["tenant", "seq"], ["answered_at", "response_id"], batch_by="answered_at")
+        once_req, once_res = a.result(), b.result()
     parts = [(once_req, "update_kv_request"), (once_res, "update_kv_response")]
     a, b = [x.where(F.col("copies") >= 2).select(F.lit(n).alias("source_table"), "tenant", "seq") for x, n in parts]
     return a.unionByName(b)
