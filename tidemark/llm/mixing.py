@@ -13,8 +13,8 @@ from tidemark.scratch import col, materialize
 
 #: Tokens of a block, the unit that is allotted.
 BLOCK_TOKENS = 512
-#: Documents a shard has on average, and how many shards there may be.
-SHARD_DOCS, MAX_SHARDS = 20_000, 1_024
+#: Documents a shard has on average, and how many sums of (source, shard) the driver may get.
+SHARD_DOCS, MAX_SUMS = 20_000, 200_000
 #: More listed sources than this are refused, as the plan is made on the driver.
 MAX_SOURCES = 10_000
 
@@ -114,8 +114,7 @@ def mix_sources(
 
     Tokens are counted once, over all texts.  Documents are hashed into shards;
     the tokens of every (source, shard) are summed in parallel and only these
-    sums (at most 10,000 sources times 1,024 shards, in practice thousands)
-    reach the driver, where blocks of ``block_tokens`` are allotted by
+    sums, at most 200,000, reach the driver, where blocks of ``block_tokens`` are allotted by
     Sainte-Lague, first to the sources, then to the shards of each.  Within a
     shard documents are put in a seeded random order and blocks are taken from
     the front, after as many whole passes as the quota holds.  A document is
@@ -135,7 +134,7 @@ def mix_sources(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     wanted = {r["s"]: (r["share"], r["repeats"]) for r in rows}
     spark = docs.sparkSession
-    shards = max(1, min(MAX_SHARDS, docs.count() // SHARD_DOCS))
+    shards = max(1, min(MAX_SUMS // max(1, len(wanted)), docs.count() // SHARD_DOCS))
     of = docs.select(col(ident).alias("doc_id"), col(source).alias("source"), col(text).alias("txt"))
     of = of.where(F.col("source").isin(list(wanted)))
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))

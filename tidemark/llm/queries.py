@@ -13,7 +13,7 @@ from tidemark.llm.packing import pack_texts, read_capacities
 from tidemark.llm.quantiles import RELATIVE_ERROR, merge_sketches, read_quantiles, sketch_groups
 from tidemark.llm.repetition import repetition
 from tidemark.llm.topn import top_n
-from tidemark.operators.skew import heavy_keys
+from tidemark.operators.skew import MIN_HEAVY_ROWS, heavy_keys
 from tidemark.operators.upsert import slices
 from tidemark.scratch import materialize
 
@@ -31,7 +31,7 @@ def _key_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _key_answers(spark: SparkSession, d: str) -> DataFrame:
     rows = _key_rows(spark, d)
-    heavy = heavy_keys(rows, F.col("key"), share=0.002, min_rows=50_000)
+    heavy = heavy_keys(rows, F.col("key"), min_rows=MIN_HEAVY_ROWS)
     ledger = KeyLedger(spark)
     out = None
     for batch in slices(rows, "arrived_at", LEDGER_BATCHES):
