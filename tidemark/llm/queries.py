@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.divergence import divergence
 from tidemark.llm.ledger import KeyLedger
 from tidemark.llm.mixing import mix_sources, reached_shares
 from tidemark.llm.packing import pack_texts, read_capacities
@@ -190,6 +191,14 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
 
+def p10_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of every document's characters and common words from those of its language."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    # spellings of a tag such as EN, en-US and en_GB name one language
+    language = F.lower(F.regexp_extract(F.trim("lang"), "^[A-Za-z]+", 0))
+    return divergence(docs, "doc_id", "text", language)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -206,6 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_shares": p10_shares,
+        "p10_divergence": p10_divergence,
     }
 
 
