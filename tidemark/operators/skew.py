@@ -90,8 +90,8 @@ def skew_join(
     """Join ``left`` with ``right`` on one key, with heavy left keys kept apart.
 
     ``how`` is inner, left, left_semi or left_anti; column names of the two
-    sides must differ.  Rows of ``left`` with a null key never match and take no
-    part in the shuffle.  Rows with a heavy key meet a broadcast of the right
+    sides must differ.  Rows of ``left`` with a null key never match and are not
+    gathered in one task.  Rows with a heavy key meet a broadcast of the right
     rows of those keys; if these are more than ``broadcast_rows`` (a count tells,
     unless ``heavy_side_rows`` gives a proven bound), they are instead copied
     ``salts`` times and the heavy left rows are spread over the salts.  All
@@ -108,22 +108,18 @@ def skew_join(
     hot = is_heavy(lk, heavy)
     cold = left.where(lk.isNotNull() & ~hot)
     parts = [cold.join(right.hint("merge"), on, how)]
-    if heavy:
-        left_hot, right_hot = left.where(hot), right.where(is_heavy(rk, heavy))
-        size = heavy_side_rows if heavy_side_rows is not None else right_hot.limit(broadcast_rows + 1).count()
-        if size <= broadcast_rows:
-            parts.append(left_hot.join(F.broadcast(right_hot), on, how))
-        else:
-            salt = F.pmod(F.xxhash64(*[col(c) for c in left.columns]), F.lit(salts)).cast("int")
-            spread = left_hot.withColumn("__salt_l", salt)
-            copies = right_hot.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            joined = spread.join(copies, on & (F.col("__salt_l") == F.col("__salt_r")), how)
-            parts.append(joined.drop("__salt_l", "__salt_r"))
-    if how in ("left", "left_anti"):
-        rest = left.where(lk.isNull())
-        if how == "left":
-            rest = rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
-        parts.append(rest)
+    # rows without a key go with the heavy ones, where they cost no shuffle; they match nothing there either
+    keyless = lk.isNull() if how in ("left", "left_anti") else F.lit(False)
+    apart, right_hot = left.where(hot | keyless), right.where(is_heavy(rk, heavy))
+    size = heavy_side_rows if heavy_side_rows is not None else right_hot.limit(broadcast_rows + 1).count() if heavy else 0
+    if size <= broadcast_rows:
+        parts.append(apart.join(F.broadcast(right_hot), on, how))
+    else:
+        salt = F.pmod(F.xxhash64(*[col(c) for c in left.columns]), F.lit(salts)).cast("int")
+        spread = apart.withColumn("__salt_l", salt)
+        copies = right_hot.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = spread.join(copies, on & (F.col("__salt_l") == F.col("__salt_r")), how)
+        parts.append(joined.drop("__salt_l", "__salt_r"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
