@@ -2,7 +2,8 @@
 
 SQL queries run through the engine's own SQL surface, key-value queries through
 the operators of :mod:`tidemark.operators.kv`.  Keys begin with the inventory's
-handles.
+handles; those of its section P have ``sel_`` before it, as ``pN_`` names the
+queries of the problems.
 """
 
 from __future__ import annotations
@@ -30,17 +31,17 @@ SQL = {
     # S11
     "s11_values_list": "select col1 as id, col2 as name from values (1,'a'),(2,'b'),(3,null) t(col1,col2)",
     # P2
-    "p2_qualified_wildcard": "select n.*, r.r_name from nation n join region r on n.n_regionkey=r.r_regionkey",
+    "sel_p2_qualified_wildcard": "select n.*, r.r_name from nation n join region r on n.n_regionkey=r.r_regionkey",
     # P3
-    "p3_alias_in_where": "select r_regionkey+1 as a, r_name from region where a >= 2",
+    "sel_p3_alias_in_where": "select r_regionkey+1 as a, r_name from region where a >= 2",
     # P3,A2
-    "p3_alias_in_group_order": "select count(o_orderkey) as c1, o_orderstatus as c2 from orders group by c2 order by c1 desc",
+    "sel_p3_alias_in_group_order": "select count(o_orderkey) as c1, o_orderstatus as c2 from orders group by c2 order by c1 desc",
     # P4
-    "p4_table_alias": "select t.c_custkey, t.c_mktsegment from customer as t where t.c_acctbal > 0",
+    "sel_p4_table_alias": "select t.c_custkey, t.c_mktsegment from customer as t where t.c_acctbal > 0",
     # P5,P6,F12
-    "p5_filter_and": "select o_orderkey from orders where o_totalprice > 1000 and o_orderstatus = 'O' and o_custkey < 50",
+    "sel_p5_filter_and": "select o_orderkey from orders where o_totalprice > 1000 and o_orderstatus = 'O' and o_custkey < 50",
     # P5,F12
-    "p5_filter_or": "select o_orderkey from orders where o_custkey > 100 or o_orderstatus = 'F'",
+    "sel_p5_filter_or": "select o_orderkey from orders where o_custkey > 100 or o_orderstatus = 'F'",
     # J1,J7
     "j1_inner": "select o.o_orderkey, c.c_name from orders o inner join customer c on o.o_custkey=c.c_custkey",
     # J1
@@ -185,7 +186,7 @@ SQL = {
     # F13
     "f13_cast_widen": "select cast(n_nationkey as bigint) as b, cast(n_nationkey as double) as d from nation",
     # P5
-    "p5_filter_null_dropped": "select c_custkey from customer where nullif(c_custkey % 3, 0) > 1",
+    "sel_p5_filter_null_dropped": "select c_custkey from customer where nullif(c_custkey % 3, 0) > 1",
     # A3,A4 (D6)
     "a4_count_distinct_nulls": (
         "select count(nullif(o_custkey % 4, 0)) as c, count(distinct nullif(o_custkey % 4, 0)) as cd, "
