@@ -60,3 +60,16 @@ def test_copies_that_disagree_have_a_fixed_winner(spark):
 
 def test_empty_feed(spark):
     assert apply_changes(spark.createDataFrame([], SCHEMA), ["tenant", "key"], "seq", "kind", ["value"]).count() == 0
+
+
+@pytest.mark.parametrize("others", [[], [("t", "k", 4, 0, "u", "", 0, 0)]])
+def test_a_message_delivered_very_often(spark, others):
+    rows = [("t", "k", 5, 0, "v", "", 0, 0)] * 2000 + [*others, ("t", "j", 6, 0, "w", "", 0, 0)]
+    got = apply_changes(spark.createDataFrame(rows, SCHEMA), ["tenant", "key"], "seq", "kind", ["value"], target_rows=50)
+    assert {tuple(r) for r in got.collect()} == {("t", "k", 5, "v"), ("t", "j", 6, "w")}
+
+
+def test_one_shuffle_serves_keys_that_are_not_heavy(spark):
+    df = spark.createDataFrame(make(300, 6), SCHEMA)
+    got = apply_changes(df, ["tenant", "key"], "seq", "kind", ["value"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

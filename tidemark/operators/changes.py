@@ -66,10 +66,18 @@ def _hot_groups(versions: DataFrame, total: int, target_rows: int) -> list:
         s = s.sample(False, fraction, 11)
     least = max(LEAST_SAMPLED, target_rows * fraction)
     g = s.groupBy("h").agg(F.count("*").alias("c"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    found = g.where((F.col("c") >= least) & (F.col("hi") > F.col("lo"))).collect()
+    found = g.where(F.col("c") >= least).collect()
     return [(r["h"], r["lo"], r["hi"], math.ceil(r["c"] / fraction / target_rows) + 1) for r in found]
 
 
+def _once(rows: DataFrame, k: list[str], p: list[str]) -> DataFrame:
+    """One row per key and seq; the lowest (op, payload) if copies disagree."""
+    if not p:
+        return rows.groupBy(*k, "seq").agg(F.min("op").alias("op"))
+    one = rows.groupBy(*k, "seq").agg(F.min(F.struct("op", *p)).alias("v"))
+    return one.select(*k, "seq", F.col("v.op").alias("op"), *[F.col(f"v.{x}").alias(x) for x in p])
+
+
 def apply_changes(
     feed: DataFrame,
     key: Sequence[str],
@@ -88,12 +96,12 @@ def apply_changes(
     they count as puts at their own ``seq``.
 
     Method: a signed multiset.  Repeated deliveries of a change (same key and
-    seq) collapse to one first, before the shuffle where they meet in a task; if
-    copies disagree, the lowest (op, payload) wins.  Each change then adds +1 of
+    seq) collapse to one first; if copies disagree, the lowest (op, payload) wins.  Each change then adds +1 of
     its after-image and -1 of its before-image, multiplicities are summed, and
     images with a positive sum are the state.  Order of arrival plays no part.
 
-    A key with very many changes is cut into blocks of its seq range, each summed
+    A key with very many rows has its repeated deliveries combined before the
+    shuffle and is cut into blocks of its seq range, each summed
     in a task of its own; the blocks' net versions are then summed once more.
     Which keys are cut is decided on a sample (about 20,000 keys at most, which
     is what is broadcast); the result is the same for any decision.
@@ -114,28 +122,23 @@ def apply_changes(
     rows = shaped(feed, col(op)).where(F.col("op").isin(PUT, DELETE) & F.col("seq").isNotNull())
     if base is not None:
         rows = rows.unionByName(shaped(base, F.lit(PUT)).where(F.col("seq").isNotNull()))
-    if p:
-        # the struct's order makes the choice between unequal copies a fixed one
-        one = rows.groupBy(*k, "seq").agg(F.min(F.struct("op", *p)).alias("v"))
-        one = one.select(*k, "seq", F.col("v.op").alias("op"), *[F.col(f"v.{x}").alias(x) for x in p])
-    else:
-        one = rows.groupBy(*k, "seq").agg(F.min("op").alias("op"))
-
     h = F.xxhash64(*k)
     total = feed.count()
     hot = _hot_groups(rows.withColumn("h", h), total, target_rows)
-    if not hot:
-        out = _signed_sum(one, k, p, keep_deletes=False)
-    else:
-        table = F.broadcast(feed.sparkSession.createDataFrame(hot, "hh bigint, lo bigint, hi bigint, blocks int"))
-        cold = _signed_sum(one.join(table, h == F.col("hh"), "left_anti"), k, p, keep_deletes=False)
+    table = F.broadcast(feed.sparkSession.createDataFrame(hot, "hh bigint, lo bigint, hi bigint, blocks int"))
+    cold = rows.join(table, h == F.col("hh"), "left_anti") if hot else rows
+    # one shuffle, by key, serves the removal of copies, the window and the sums
+    out = _signed_sum(_once(cold.repartition(*k), k, p), k, p, keep_deletes=False).select(*k, "seq", *p)
+    if hot:
+        # copies meet in the tasks that read them, as one message may have very many
+        one = _once(rows.join(table.select("hh"), h == F.col("hh"), "left_semi"), k, p)
         # monotone in seq, and clamped, so a bound that the sample missed only makes an end block larger
         lo, hi, n = F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("blocks")
-        cut = F.floor((F.col("seq").cast("double") - lo) / (hi - lo) * n)
+        cut = F.floor((F.col("seq").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * n)
         block = F.greatest(F.lit(0), F.least(n - 1, cut)).cast("bigint").alias("block")
         blocks = one.join(table, h == F.col("hh")).select(*k, "seq", "op", *p, block)
         net = _signed_sum(blocks, [*k, "block"], p, keep_deletes=True).drop("block")
-        out = cold.select(*k, "seq", *p).unionByName(_signed_sum(net, k, p, keep_deletes=False).select(*k, "seq", *p))
+        out = out.unionByName(_signed_sum(net, k, p, keep_deletes=False).select(*k, "seq", *p))
     return out.select(
         *[F.col(a).alias(c) for c, a in zip(key, k)],
         F.col("seq").alias(seq),
