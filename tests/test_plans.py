@@ -92,7 +92,7 @@ def test_aggregation_is_partial_first(engine):
 def test_heavy_rows_are_not_shuffled(engine):
     left = engine.table("orders")
     right = engine.table("customer")
-    p = nodes(skew_join(left, right, "o_custkey", "c_custkey", "left", heavy=[1, 2], heavy_side_rows=2))
+    p = nodes(skew_join(left, right, "o_custkey", "c_custkey", "left", heavy=[1, 2], heavy_side_rows=2, merge=True))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" in p and p.count("Exchange hashpartitioning") == 2
 
 

@@ -22,7 +22,7 @@ SCHEMA = "k string, v long, n long, salt string"
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
-@pytest.mark.parametrize("heavy", [["hot"], ["hot", "k1", "", "absent"], []])
+@pytest.mark.parametrize("heavy", [["hot"], ["hot", "k1", "", "absent"], [], None])
 def test_skew_join_equals_plain_join(spark, rows, how, broadcast_rows, heavy):
     left = spark.createDataFrame(rows, SCHEMA)
     right = spark.createDataFrame([("hot", 1), ("hot", 30), ("", 5), (None, 6), *[(f"k{i}", i) for i in range(0, 300, 2)]], "rk string, rv long")

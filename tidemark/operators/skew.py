@@ -85,29 +85,37 @@ def skew_join(
     residual: Column | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     heavy_side_rows: int | None = None,
+    merge: bool = False,
     salts: int = 32,
 ) -> DataFrame:
     """Join ``left`` with ``right`` on one key, with heavy left keys kept apart.
 
     ``how`` is inner, left, left_semi or left_anti; column names of the two
-    sides must differ.  Rows of ``left`` with a null key never match and are not
-    gathered in one task.  Rows with a heavy key meet a broadcast of the right
-    rows of those keys; if these are more than ``broadcast_rows`` (a count tells,
-    unless ``heavy_side_rows`` gives a proven bound), they are instead copied
-    ``salts`` times and the heavy left rows are spread over the salts.  All
-    other rows are joined by an ordinary shuffle and sort-merge.
+    sides must differ.  If ``right`` turns out to have at most ``broadcast_rows``
+    rows (a count that stops there tells), it is broadcast and nothing of
+    ``left`` is shuffled.  Otherwise, or if ``heavy`` is given:
+
+    * rows with a heavy key (found by sampling) meet a broadcast of the right rows
+      of those keys; if these are more than ``broadcast_rows`` (counted, unless
+      ``heavy_side_rows`` gives a proven bound), they are instead copied ``salts``
+      times and the heavy left rows are spread over the salts;
+    * rows with a null key never match and go with these, so they are not
+      gathered in one task;
+    * all other rows are joined by an ordinary shuffle, by sort-merge if ``merge``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how}")
-    if heavy is None:
-        heavy = heavy_keys(left, col(left_key), min_rows=MIN_HEAVY_ROWS)
     lk, rk = col(left_key), col(right_key)
     on = lk == rk
     if residual is not None:
         on = on & residual
+    if heavy is None:
+        if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+            return left.join(F.broadcast(right), on, how)
+        heavy = heavy_keys(left, lk, min_rows=MIN_HEAVY_ROWS)
     hot = is_heavy(lk, heavy)
     cold = left.where(lk.isNotNull() & ~hot)
-    parts = [cold.join(right.hint("merge"), on, how)]
+    parts = [cold.join(right.hint("merge") if merge else right, on, how)]
     # rows without a key go with the heavy ones, where they cost no shuffle; they match nothing there either
     keyless = lk.isNull() if how in ("left", "left_anti") else F.lit(False)
     apart, right_hot = left.where(hot | keyless), right.where(is_heavy(rk, heavy))
