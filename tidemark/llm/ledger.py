@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import skew_join
+from tidemark.operators.skew import MIN_HEAVY_ROWS, heavy_keys, skew_join
 from tidemark.scratch import BucketedRuns, col
 
 
@@ -79,8 +79,9 @@ class KeyLedger:
         self.store.write(fresh.select(F.col("bk").alias("k"), F.col("t").alias("first_at")), run)
         self.runs += 1
         history = self.first_seen(run)
-        found = skew_join(
-            rows.drop("w"), history, "bk", "k", "left", heavy=heavy, heavy_side_rows=None if heavy is None else len(heavy)
-        )
+        if heavy is None:
+            heavy = heavy_keys(rows, F.col("bk"), min_rows=MIN_HEAVY_ROWS)
+        # the history has one row per key, so that of the heavy keys is as long as their list
+        found = skew_join(rows.drop("w"), history, "bk", "k", "left", heavy=heavy, heavy_side_rows=len(heavy), merge=True)
         earlier = F.coalesce(F.col("first_at") < F.col("t"), F.lit(False))
         return found.select(*[F.col(v).alias(c) for v, c in zip(kept, carry)], earlier.alias(seen))

@@ -33,7 +33,8 @@ def _key_rows(spark: SparkSession, d: str) -> DataFrame:
 def _key_answers(spark: SparkSession, d: str) -> DataFrame:
     rows = _key_rows(spark, d)
     heavy = heavy_keys(rows, F.col("key"), min_rows=MIN_HEAVY_ROWS)
-    ledger = KeyLedger(spark)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ledger = KeyLedger(spark, types["key"], types["arrived_at"])
     out = None
     for batch in slices(rows, "arrived_at", LEDGER_BATCHES):
         part = ledger.observe(batch, "key", "arrived_at", writes=F.col("writes"), carry=["source_table", "record_id"], heavy=heavy)
