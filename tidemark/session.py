@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +52,24 @@ def local_session(cpus: int | None = None, app: str = "tidemark") -> SparkSessio
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers that do not share the driver's path.
+
+    Spark hands the zipped package (a few dozen kB) to the executors, as with
+    ``--py-files``.  Once per application.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped[app] = folder = tempfile.TemporaryDirectory(prefix="tidemark-")
+    package = Path(__file__).resolve().parent
+    archive = Path(folder.name) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
