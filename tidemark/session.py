@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tidemark.scratch import scratch_path
+
 #: Settings every session of the engine should have.  Cluster-sized values
 #: (executors, memory, shuffle partitions, checkpoint folder) stay with the
 #: deployment; nothing here caps them.
@@ -54,22 +56,26 @@ def local_session(cpus: int | None = None, app: str = "tidemark") -> SparkSessio
     return spark
 
 
-_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+_shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers that do not share the driver's path.
 
-    Spark hands the zipped package (a few dozen kB) to the executors, as with
-    ``--py-files``.  Once per application.
+    The zipped package (a few dozen kB) is put in the shared folder, from where
+    Spark hands it to the executors as with ``--py-files``.  Once per application.
     """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    _shipped[app] = folder = tempfile.TemporaryDirectory(prefix="tidemark-")
-    package = Path(__file__).resolve().parent
-    archive = Path(folder.name) / "tidemark.zip"
+    package, archive = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
+    path = f"{scratch_path(spark, 'package')}/tidemark.zip"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
