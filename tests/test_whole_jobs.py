@@ -1,0 +1,29 @@
+"""Queries whose work keeps its share of the data at every scale."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.queries import reference
+
+QUERIES = reference.queries()
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """4,000 events, two versions of each of 2,000 keys, both in the same half of the log."""
+    d = f"file://{tmp_path_factory.mktemp('whole')}"
+    i = F.col("id")
+    key = F.floor(i / 2000) * 1000 + i % 1000
+    rows = spark.range(4000).select(i.alias("event_id"), key.alias("user_id"), F.lit("view").alias("event_type"), i.cast("double").alias("value"))
+    rows.write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def test_half_of_the_log_is_in_sight_of_the_snapshot(spark, events):
+    seqs = {r["seq"] for r in QUERIES["k5_snapshot_half"](spark, events).collect()}
+    assert seqs == set(range(1000, 2000))
+
+
+def test_compaction_collapses_half_of_the_log(spark, events):
+    seqs = {r["seq"] for r in QUERIES["k14_compaction_half"](spark, events).collect()}
+    assert seqs == set(range(1000, 4000))

@@ -253,6 +253,16 @@ def k5_snapshot_get(spark: SparkSession, d: str) -> DataFrame:
     return _kv(kv.visible(_log(spark, d), SNAPSHOT))
 
 
+def _half(spark: SparkSession, d: str) -> int:
+    """The seq in the middle of the log."""
+    return (spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id")).first()[0] or 0) // 2
+
+
+def k5_snapshot_half(spark: SparkSession, d: str) -> DataFrame:
+    """K5 at a snapshot that leaves half of the log in sight at every scale."""
+    return _kv(kv.visible(_log(spark, d), _half(spark, d)))
+
+
 def k7_scan(spark: SparkSession, d: str) -> DataFrame:
     return _kv(kv.scan(_log(spark, d)))
 
@@ -289,6 +299,11 @@ def k14_compaction(spark: SparkSession, d: str) -> DataFrame:
     return kv.compact(_log(spark, d), SNAPSHOT).select(F.col("key").alias("k"), "seq", F.col("vtype").alias("vt"))
 
 
+def k14_compaction_half(spark: SparkSession, d: str) -> DataFrame:
+    """K14 with the oldest snapshot in the middle of the log, so that the versions of its first half collapse."""
+    return kv.compact(_log(spark, d), _half(spark, d)).select(F.col("key").alias("k"), "seq", F.col("vtype").alias("vt"))
+
+
 def k16_approx_size(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
     log = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.lit(1).alias("vtype"), F.col("props").alias("value"))
@@ -429,8 +444,8 @@ def u2_table_function(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = [
-    k1_k2_put_delete, k3_write_batch, k4_get_latest, k5_snapshot_get, k7_scan, k8_reverse_scan, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
-    k12_comparator, k14_compaction, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table,
+    k1_k2_put_delete, k3_write_batch, k4_get_latest, k5_snapshot_get, k5_snapshot_half, k7_scan, k8_reverse_scan, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
+    k12_comparator, k14_compaction, k14_compaction_half, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table,
     s6_seq_table_scan, s7_read_csv, s8_replacement_scan, s18_create_table_as, s19_insert_columns, s20_copy_from, s13_s15_catalog, s14_s16_describe, s21_explain,
     f9_interval_units, f10_typed_constants, u1_u3_functions, u2_table_function,
 ]
@@ -453,6 +468,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _sql_query(v) for k, v in SQL.items()} | {f.__name__: f for f in _FUNCTIONS}
 
 
+_HALF = "(select max(event_id) // 2 from events)"
+
 _EVENTS = "(select user_id as k, event_id as seq, case when event_type = 'error' then 0 else 1 end as vt, value as v from events)"
 
 
@@ -476,6 +493,7 @@ def oracle_sql() -> dict[str, str]:
         "k3_write_batch": "select event_id, 99 + row_number() over (order by ts, event_id) as seq from events",
         "k4_get_latest": _newest(_EVENTS, "k = 3"),
         "k5_snapshot_get": _newest(_EVENTS, f"seq <= {SNAPSHOT}"),
+        "k5_snapshot_half": _newest(_EVENTS, f"seq <= {_HALF}"),
         "k7_scan": _newest(_EVENTS),
         "k8_reverse_scan": _newest(_EVENTS) + " order by k desc limit 25",
         "k9_range_scan": _newest(_EVENTS, "k >= 3 and k < 9"),
@@ -487,6 +505,10 @@ def oracle_sql() -> dict[str, str]:
             f"select k, seq, vt from (select *, lag(seq) over (partition by k order by seq desc) as newer from {_EVENTS} l) t "
             f"where not (coalesce(newer <= {SNAPSHOT}, false) or (vt = 0 and seq <= {SNAPSHOT}))"
         ),
+        "k14_compaction_half": (
+            f"select k, seq, vt from (select *, lag(seq) over (partition by k order by seq desc) as newer from {_EVENTS} l) t "
+            f"where not (coalesce(newer <= {_HALF}, false) or (vt = 0 and seq <= {_HALF}))"
+        ),
         "k16_approx_size": "select cast(sum(length(cast(user_id as varchar)) + length(props)) as bigint) as b from events where user_id >= 3 and user_id < 9",
         "k17_bloom_filter": "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 5000)",
         "k25_request_service": """
