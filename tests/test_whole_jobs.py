@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.helpers import nodes
 from tidemark.queries import reference
 
 QUERIES = reference.queries()
@@ -27,3 +28,9 @@ def test_half_of_the_log_is_in_sight_of_the_snapshot(spark, events):
 def test_compaction_collapses_half_of_the_log(spark, events):
     seqs = {r["seq"] for r in QUERIES["k14_compaction_half"](spark, events).collect()}
     assert seqs == set(range(1000, 4000))
+
+
+def test_reverse_scan_gives_every_key_from_the_last(spark, events):
+    df = QUERIES["k8_reverse_scan_whole"](spark, events)
+    assert [r["k"] for r in df.collect()] == list(range(1999, -1, -1))
+    assert "TakeOrdered" not in nodes(df)

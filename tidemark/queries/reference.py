@@ -271,6 +271,11 @@ def k8_reverse_scan(spark: SparkSession, d: str) -> DataFrame:
     return _kv(kv.scan(_log(spark, d), reverse=True).limit(25))
 
 
+def k8_reverse_scan_whole(spark: SparkSession, d: str) -> DataFrame:
+    """K8 over all keys."""
+    return _kv(kv.scan(_log(spark, d), reverse=True))
+
+
 def k9_range_scan(spark: SparkSession, d: str) -> DataFrame:
     return _kv(kv.scan(_log(spark, d), start=3, end=9))
 
@@ -444,7 +449,7 @@ def u2_table_function(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = [
-    k1_k2_put_delete, k3_write_batch, k4_get_latest, k5_snapshot_get, k5_snapshot_half, k7_scan, k8_reverse_scan, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
+    k1_k2_put_delete, k3_write_batch, k4_get_latest, k5_snapshot_get, k5_snapshot_half, k7_scan, k8_reverse_scan, k8_reverse_scan_whole, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
     k12_comparator, k14_compaction, k14_compaction_half, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table,
     s6_seq_table_scan, s7_read_csv, s8_replacement_scan, s18_create_table_as, s19_insert_columns, s20_copy_from, s13_s15_catalog, s14_s16_describe, s21_explain,
     f9_interval_units, f10_typed_constants, u1_u3_functions, u2_table_function,
@@ -496,6 +501,7 @@ def oracle_sql() -> dict[str, str]:
         "k5_snapshot_half": _newest(_EVENTS, f"seq <= {_HALF}"),
         "k7_scan": _newest(_EVENTS),
         "k8_reverse_scan": _newest(_EVENTS) + " order by k desc limit 25",
+        "k8_reverse_scan_whole": _newest(_EVENTS),
         "k9_range_scan": _newest(_EVENTS, "k >= 3 and k < 9"),
         "k9_seek": _newest(_EVENTS, "k >= 10") + " order by k limit 1",
         "k9_prefix_scan": f"select 'user/' || k as k, seq, v from ({_newest(_EVENTS)}) where 'user/' || k like 'user/1%'",
