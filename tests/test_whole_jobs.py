@@ -34,3 +34,13 @@ def test_reverse_scan_gives_every_key_from_the_last(spark, events):
     df = QUERIES["k8_reverse_scan_whole"](spark, events)
     assert [r["k"] for r in df.collect()] == list(range(1999, -1, -1))
     assert "TakeOrdered" not in nodes(df)
+
+
+@pytest.mark.parametrize("way, sign", [("desc", -1), ("asc", 1)])
+def test_full_sort_orders_keys_that_are_not_null(spark, tmp_path, way, sign):
+    d = f"file://{tmp_path}"
+    i = F.col("id")
+    spark.range(500).select(i.alias("o_orderkey"), (i * 7 % 11).alias("o_custkey")).write.parquet(f"{d}/orders.parquet")
+    got = [(r["g"], r["o_orderkey"]) for r in QUERIES[f"o1_sort_{way}_whole"](spark, d).collect()]
+    rows = [(k * 7 % 11 % 5 or None, k) for k in range(500)]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, sign * (r[0] or 0), r[1]))

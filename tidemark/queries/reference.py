@@ -199,6 +199,10 @@ SQL = {
     ),
     # O1
     "o1_sort_asc_nulls_first": "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g asc nulls first, o_orderkey limit 40",
+    # O1
+    "o1_sort_desc_whole": "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g desc nulls first, o_orderkey",
+    # O1
+    "o1_sort_asc_whole": "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g asc nulls first, o_orderkey",
 }
 
 #: Oracle texts that differ from the engine's.
