@@ -44,3 +44,22 @@ def test_full_sort_orders_keys_that_are_not_null(spark, tmp_path, way, sign):
     got = [(r["g"], r["o_orderkey"]) for r in QUERIES[f"o1_sort_{way}_whole"](spark, d).collect()]
     rows = [(k * 7 % 11 % 5 or None, k) for k in range(500)]
     assert got == sorted(rows, key=lambda r: (r[0] is not None, sign * (r[0] or 0), r[1]))
+
+
+def test_every_key_is_put_or_deleted(spark, events):
+    got = {(r["k"], r["v"]) for r in QUERIES["k1_k2_put_delete_all"](spark, events).collect()}
+    assert got == {(k, 1.5) for k in range(1, 2000, 2)}
+
+
+def test_whole_table_is_appended_again(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert QUERIES["s5_append_table_whole"](spark, sf).where("s = 'again'").count() == orders
+
+
+@pytest.mark.parametrize("name, share", [("sel_p5_filter_and_values", 1 / 4), ("q1_derived_nested_values", 1 / 2)])
+def test_share_of_a_filter_does_not_depend_on_ids(spark, tmp_path, name, share):
+    d, i = f"file://{tmp_path}", F.col("id")
+    cols = [(i + 1000).alias("o_orderkey"), (i + 1000).alias("o_custkey"), F.when(i % 2 == 0, "O").otherwise("F").alias("o_orderstatus")]
+    cols += [F.when(i % 4 < 2, 300000.0).otherwise(2000.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority")]
+    spark.range(400).select(*cols).write.parquet(f"{d}/orders.parquet")
+    assert QUERIES[name](spark, d).count() == 400 * share

@@ -40,6 +40,10 @@ SQL = {
     "sel_p4_table_alias": "select t.c_custkey, t.c_mktsegment from customer as t where t.c_acctbal > 0",
     # P5,P6,F12
     "sel_p5_filter_and": "select o_orderkey from orders where o_totalprice > 1000 and o_orderstatus = 'O' and o_custkey < 50",
+    # P5,P6,F12
+    "sel_p5_filter_and_values": (
+        "select o_orderkey from orders where o_totalprice > 250000 and o_orderstatus = 'O' and o_orderpriority = '1-URGENT'"
+    ),
     # P5,F12
     "sel_p5_filter_or": "select o_orderkey from orders where o_custkey > 100 or o_orderstatus = 'F'",
     # J1,J7
@@ -91,6 +95,11 @@ SQL = {
         "select t2.k from (select t1.k, t1.v from (select o_orderkey as k, o_totalprice as v, o_custkey as c from "
         "orders where o_custkey < 60) t1 where t1.v > 1000) t2 where t2.k > 10"
     ),
+    # Q1
+    "q1_derived_nested_values": (
+        "select t2.k from (select t1.k, t1.v from (select o_orderkey as k, o_totalprice as v, o_orderstatus as s from "
+        "orders where o_orderstatus = 'O') t1 where t1.v > 1000) t2 where t2.k > 10"
+    ),
     # Q1,J6
     "q1_derived_agg_cross": "select c.c_custkey, m.mx from customer c cross join (select max(c_acctbal) as mx from customer) m",
     # Q2
@@ -243,6 +252,15 @@ def k1_k2_put_delete(spark: SparkSession, d: str) -> DataFrame:
     return _kv(kv.visible(log.unionByName(more)))
 
 
+def k1_k2_put_delete_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every key is put or deleted once more."""
+    log = _log(spark, d)
+    vtype = F.when(F.col("key") % 2 == 0, kv.TOMBSTONE).otherwise(kv.VALUE)
+    more = log.select("key").distinct()
+    more = more.select("key", (F.col("key") + 1_000_000_000).alias("seq"), vtype.alias("vtype"), F.lit(1.5).alias("value"))
+    return _kv(kv.visible(log.unionByName(more)))
+
+
 def k3_write_batch(spark: SparkSession, d: str) -> DataFrame:
     """Sequence numbers of an ordered batch: base, base + 1, ..."""
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
@@ -373,6 +391,11 @@ def s5_append_table(spark: SparkSession, d: str) -> DataFrame:
                         "insert into t select o_orderkey, 'again' from orders where o_custkey < 100; select k, s from t")
 
 
+def s5_append_table_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table t(k bigint, s varchar); insert into t select o_orderkey, o_orderstatus from orders; "
+                        "insert into t select o_orderkey, 'again' from orders; select k, s from t")
+
+
 def s6_seq_table_scan(spark: SparkSession, d: str) -> DataFrame:
     return _with_engine(spark, d, "select r_regionkey, r_name from seq_table_scan(region) r")
 
@@ -453,8 +476,8 @@ def u2_table_function(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = [
-    k1_k2_put_delete, k3_write_batch, k4_get_latest, k5_snapshot_get, k5_snapshot_half, k7_scan, k8_reverse_scan, k8_reverse_scan_whole, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
-    k12_comparator, k14_compaction, k14_compaction_half, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table,
+    k1_k2_put_delete, k1_k2_put_delete_all, k3_write_batch, k4_get_latest, k5_snapshot_get, k5_snapshot_half, k7_scan, k8_reverse_scan, k8_reverse_scan_whole, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
+    k12_comparator, k14_compaction, k14_compaction_half, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table, s5_append_table_whole,
     s6_seq_table_scan, s7_read_csv, s8_replacement_scan, s18_create_table_as, s19_insert_columns, s20_copy_from, s13_s15_catalog, s14_s16_describe, s21_explain,
     f9_interval_units, f10_typed_constants, u1_u3_functions, u2_table_function,
 ]
@@ -493,12 +516,17 @@ _ADDED = f"""
   (select k, seq, vt, v from {_EVENTS} union all
    select distinct user_id, user_id + 1000000000, case when user_id % 2 = 0 then 0 else 1 end, 1.5 from events where user_id < 20)"""
 
+_ADDED_ALL = f"""
+  (select k, seq, vt, v from {_EVENTS} union all
+   select distinct user_id, user_id + 1000000000, case when user_id % 2 = 0 then 0 else 1 end, 1.5 from events)"""
+
 
 def oracle_sql() -> dict[str, str]:
     found = {k: ORACLE.get(k, v) for k, v in SQL.items()}
     nation = "select n_nationkey, n_name, n_regionkey from nation"
     return found | {
         "k1_k2_put_delete": _newest(_ADDED),
+        "k1_k2_put_delete_all": _newest(_ADDED_ALL),
         "k3_write_batch": "select event_id, 99 + row_number() over (order by ts, event_id) as seq from events",
         "k4_get_latest": _newest(_EVENTS, "k = 3"),
         "k5_snapshot_get": _newest(_EVENTS, f"seq <= {SNAPSHOT}"),
@@ -530,6 +558,7 @@ def oracle_sql() -> dict[str, str]:
         "s2_csv_table": nation,
         "s3_memory_table": "select cast(id as bigint) as id, name from (values (1, 'a'), (2, '')) t(id, name)",
         "s5_append_table": "select o_orderkey as k, o_orderstatus as s from orders union all select o_orderkey, 'again' from orders where o_custkey < 100",
+        "s5_append_table_whole": "select o_orderkey as k, o_orderstatus as s from orders union all select o_orderkey, 'again' from orders",
         "s6_seq_table_scan": "select r_regionkey, r_name from region",
         "s7_read_csv": nation,
         "s8_replacement_scan": nation + " where n_regionkey > 1",
