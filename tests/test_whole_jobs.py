@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import nodes
+from tidemark.operators.skew import heavy_hitters, per_key_results
 from tidemark.queries import reference
 
 QUERIES = reference.queries()
@@ -63,3 +64,10 @@ def test_share_of_a_filter_does_not_depend_on_ids(spark, tmp_path, name, share):
     cols += [F.when(i % 4 < 2, 300000.0).otherwise(2000.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority")]
     spark.range(400).select(*cols).write.parquet(f"{d}/orders.parquet")
     assert QUERIES[name](spark, d).count() == 400 * share
+
+
+def test_heavy_rows_meet_a_broadcast_without_a_dimension(spark):
+    df = spark.createDataFrame([("hot",)] * 9 + [("a",), ("b",), (None,)], "k string")
+    got = per_key_results(df, "k", heavy=["hot", "hot", "absent"])
+    assert {tuple(r) for r in got.collect()} == {("hot", 9), ("a", 1), ("b", 1)}
+    assert "BroadcastHashJoin" in nodes(got) and "BroadcastHashJoin" in nodes(heavy_hitters(df, "k", 0.5))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.scratch import col, shuffle_partitions
 
@@ -152,8 +153,8 @@ def per_key_results(
     Heavy keys (found by sampling) and the rest take separate ways which are
     then united:
 
-    * heavy rows meet a broadcast table of the heavy keys that carries the
-      dimension's columns, so they are not shuffled by key; their results are
+    * heavy rows meet a broadcast table of the heavy keys, which carries the
+      dimension's columns if there is one, so they are not shuffled by key; their results are
       built in two steps, first per (key, salt of the counted value), then per key;
     * the remaining rows are joined with the dimension and grouped by an
       ordinary shuffle on the key.
@@ -177,12 +178,13 @@ def per_key_results(
     dims = None
     if dim is not None:
         dims = dim.select(col(dim_key).alias("dk"), *[col(c).alias(f"c{i}") for i, c in enumerate(dim_columns)])
+    listed = fact.sparkSession.createDataFrame([(k,) for k in heavy], T.StructType([T.StructField("hk", rows.schema["k"].dataType)]))
     carried = [f"c{i}" for i in range(len(dim_columns))]
     agg_s = [F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))]
 
     def attach(part: DataFrame, is_hot: bool) -> DataFrame:
         if dims is None:
-            return part
+            return part.join(F.broadcast(listed), F.col("k") == F.col("hk"), "left_semi") if is_hot else part
         if not is_hot:
             return part.join(dims, F.col("k") == F.col("dk"), "left").drop("dk")
         return part.join(F.broadcast(dims.where(is_heavy(F.col("dk"), heavy))), F.col("k") == F.col("dk"), "left").drop("dk")
