@@ -25,14 +25,15 @@ class KeyLedger:
     and lowers the stored first arrival of its keys; only answers that were
     given before it came are not revised.
 
-    Repeating a batch under its run number replaces that run.
+    Repeating a batch under its run number replaces that run.  Opened again on
+    its ``path``, a ledger goes on after its last run.
     """
 
     def __init__(
         self, spark: SparkSession, key_type: str = "string", at_type: str = "timestamp_ntz", *, path: str | None = None, buckets: int | None = None
     ) -> None:
         self.store = BucketedRuns(spark, ["k"], f"`k` {key_type}, `first_at` {at_type}", path=path, buckets=buckets)
-        self.runs = 0
+        self.runs = self.store.next_run()
 
     def first_seen(self, up_to: int | None = None) -> DataFrame:
         """(k, first_at), one row per key; grouped bucket by bucket without a shuffle."""

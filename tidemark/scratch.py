@@ -82,7 +82,8 @@ class BucketedRuns:
     On disk it is a parquet table partitioned by run and bucketed by ``ids``,
     so that grouping or joining by ``ids`` needs no shuffle of what is stored.
     Writing a run under a number that exists replaces that run, which makes a
-    repeated write harmless.
+    repeated write harmless.  A ``path`` that holds runs is continued, with the
+    number of buckets they were written with.
     """
 
     RUN = "__run"
@@ -92,15 +93,41 @@ class BucketedRuns:
     ) -> None:
         self.spark, self.ids = spark, list(ids)
         self.path = path or scratch_path(spark, "runs")
-        self.buckets = buckets or shuffle_partitions(spark)
+        self.buckets = self._buckets_there() or buckets or shuffle_partitions(spark)
+        if buckets and buckets != self.buckets:
+            raise ValueError(f"the runs at {self.path} have {self.buckets} buckets")
         self.name = f"tidemark_runs_{uuid.uuid4().hex}"
         keys = ", ".join(f"`{c}`" for c in ids)
         spark.sql(
             f"CREATE TABLE {self.name} ({schema}, `{self.RUN}` INT) USING parquet PARTITIONED BY (`{self.RUN}`) "
             f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
+        if path:
+            self._folder(f"_buckets-{self.buckets}")
+            spark.sql(f"MSCK REPAIR TABLE {self.name}")
         self.columns = [c for c in spark.table(self.name).columns if c != self.RUN]
 
+    def _names(self) -> list[str]:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _folder(self, name: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+    def _buckets_there(self) -> int:
+        """Number of buckets of the runs that the path holds, 0 if it is new."""
+        names = self._names()
+        found = [int(n.rpartition("-")[2]) for n in names if n.startswith("_buckets-")]
+        if not found and any(n.startswith(f"{self.RUN}=") for n in names):
+            raise ValueError(f"the number of buckets of the runs at {self.path} is not known")
+        return found[0] if found else 0
+
+    def next_run(self) -> int:
+        """One more than the highest run that the path holds, 0 if it holds none."""
+        return max((int(n.partition("=")[2]) + 1 for n in self._names() if n.startswith(f"{self.RUN}=")), default=0)
+
     def write(self, df: DataFrame, run: int) -> None:
         """Store ``df`` (with the columns of the schema) as run ``run``."""
         discard(self.spark, f"{self.path}/{self.RUN}={run}")
