@@ -79,7 +79,39 @@ def test_bloom_filter(spark):
     wrong = len(hits) - 10_000
     assert wrong <= 0.03 * 10_000 and f.false_positive_rate < 0.02
     assert "might_contain" in probe._jdf.queryExecution().executedPlan().toString()
-    small = bloom_filter(df, "k", max_bits=1_000)  # too small to be of use: everything passes
-    assert small.false_positive_rate == 1.0
-    assert spark.range(5).where(small.might_contain(F.col("id"))).count() == 5
     assert spark.createDataFrame([(None,)], "k long").select(f.might_contain(F.col("k")).alias("p")).first()[0] is None
+
+
+@pytest.mark.parametrize("max_bits", [10_000, 1 << 10])
+def test_more_keys_than_one_filter_holds_are_spread_over_many(spark, max_bits):
+    df = spark.range(0, 20_000, 2).toDF("k")
+    f = bloom_filter(df, "k", max_bits=max_bits)
+    assert f.ranges >= 100_000 // max_bits and f.bits <= max_bits and f.false_positive_rate < 0.02
+    rows = spark.range(20_000).withColumn("id", F.when(F.col("id") != 77, F.col("id")))
+    marked = f.mark(rows, "id", "p")
+    got = {r["id"]: r["p"] for r in marked.collect()}
+    assert marked.count() == 20_000 and got[None] is None
+    assert all(got[i] for i in range(0, 20_000, 2))
+    assert sum(bool(v) for v in got.values()) - 10_000 <= 400
+    if f.ranges > 16:
+        with pytest.raises(ValueError):
+            f.might_contain(F.col("id"))
+
+
+def test_no_keys_let_nothing_through(spark):
+    f = bloom_filter(spark.range(0).toDF("k"), "k")
+    assert f.false_positive_rate == 0 and f.mark(spark.range(5), "id", "p").where("p").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["double", "int", "decimal(20,3)", "float"])
+def test_numbers_of_unlike_types_are_compared_as_numbers(spark, kind):
+    p = spark.createDataFrame([(i, None, at(0), None) for i in range(5)], PARENT)
+    c = spark.range(8).select(F.col("id"), F.col("id").cast(kind).alias("dep"), F.lit(None).cast("string").alias("st"), F.lit(at(3)).cast("timestamp_ntz").alias("loaded_at"))
+    assert sorted(r["id"] for r in orphans(c, "loaded_at", ["id"], refs(p)[:1]).collect()) == [5, 6, 7]
+
+
+def test_definite_orphans_are_kept_in_the_one_scan_of_the_child(spark, data):
+    child, parents = data
+    c, p = spark.createDataFrame(child, CHILD), spark.createDataFrame(parents, PARENT)
+    plan = orphans(c, "loaded_at", ["id"], refs(p)[:1])._jdf.queryExecution().executedPlan().toString()
+    assert "might_contain" in plan and "Union" not in plan

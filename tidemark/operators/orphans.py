@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.bloom import bloom_filter
 from tidemark.operators.skew import skew_join
@@ -40,20 +41,22 @@ def orphans(child: DataFrame, at: str, carry: Sequence[str], references: Sequenc
     repeatedly.
 
     Keys that a Bloom filter of the parents' keys rejects are orphans for
-    certain; the others are verified by an exact anti-join.  The filter's size is
-    capped (see :mod:`bloom`), the anti-join keeps heavy keys apart, and parents
-    are only broadcast whole if Spark's size threshold allows it.
+    certain: they go on without a key, which matches nothing and is not shuffled.
+    The others are verified by an exact anti-join in the same pass.  The filters' sizes are
+    bounded (see :mod:`bloom`), the anti-join keeps heavy keys apart, and parents
+    are only broadcast whole if they were counted and are few.
 
     A null reference is none.  A row whose ``at`` is null meets no valid parent,
     so its references are orphans; likewise parents whose ``since`` is null are
-    never valid.  Keys of unlike types are compared as strings.  Empty parents make every
+    never valid.  Keys of two numeric types, or two types of dates and times, are compared in
+    their common type, keys of other unlike types as strings.  Empty parents make every
     reference an orphan.  Columns not named are ignored, whatever their names.
     """
     parts = []
     for ref in references:
         key, pkey = col(ref.column), col(ref.parent_key)
-        if child.schema[ref.column].dataType != ref.parent.schema[ref.parent_key].dataType:
-            key, pkey = key.cast("string"), pkey.cast("string")
+        kind = common_key_type(child.schema[ref.column].dataType, ref.parent.schema[ref.parent_key].dataType, child.sparkSession)
+        key, pkey = key.cast(kind), pkey.cast(kind)
         carried = [f"v{i}" for i in range(len(carry))]
         rows = child.select(
             key.alias("k"), col(at).alias("t"), *[col(c).alias(v) for c, v in zip(carry, carried)]
@@ -62,12 +65,12 @@ def orphans(child: DataFrame, at: str, carry: Sequence[str], references: Sequenc
             rows = rows.where(F.col("k") != "")
         parents = ref.parent.select(pkey.alias("pk"), col(ref.since).alias("since"), col(ref.until).alias("until"))
         parents = parents.where(F.col("pk").isNotNull())
-        perhaps = bloom_filter(parents, "pk").might_contain(F.col("k"))
-        certain = rows.where(~perhaps)
         valid = (F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("until") > F.col("t")))
-        checked = skew_join(rows.where(perhaps), parents, "k", "pk", "left_anti", residual=valid)
+        marked = bloom_filter(parents, "pk").mark(rows, "k", "perhaps")
+        marked = marked.select(F.when(F.col("perhaps"), F.col("k")).alias("k"), "t", *carried)
+        found = skew_join(marked, parents, "k", "pk", "left_anti", residual=valid)
         parts.append(
-            certain.unionByName(checked).select(
+            found.select(
                 F.lit(ref.name).alias("ref_table"),
                 *[F.col(v).alias(c) for c, v in zip(carry, carried)],
                 F.col("t").alias(at),
@@ -79,6 +82,17 @@ def orphans(child: DataFrame, at: str, carry: Sequence[str], references: Sequenc
     return out
 
 
+def common_key_type(a: T.DataType, b: T.DataType, spark: SparkSession) -> T.DataType:
+    """The type in which keys of two types are compared."""
+    if a == b:
+        return a
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    if any(isinstance(a, kind) and isinstance(b, kind) for kind in (T.NumericType, times)):
+        both = F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b)).alias("x")
+        return spark.range(0).select(both).schema["x"].dataType
+    return T.StringType()
+
+
 def month(at: Column) -> Column:
     """Month of a time as ``YYYY-MM``."""
     return F.date_format(at, "yyyy-MM")
