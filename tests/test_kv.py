@@ -1,4 +1,5 @@
 from collections import Counter
+from contextlib import closing as KV_closing
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -51,7 +52,8 @@ def test_reopening_continues(spark, tmp_path):
     assert again.last_seq == 1 and again.get("a") == "1"
     again.put("a", "2")
     again.close()
-    assert KV(spark, path).get("a") == "2"
+    with KV_closing(KV(spark, path)) as third:
+        assert third.get("a") == "2"
     with pytest.raises(ValueError):
         KV(spark, path, comparator="reverse(key)")
     again.destroy()
@@ -77,15 +79,82 @@ def test_compaction_keeps_what_snapshots_see(spark):
     assert db.approximate_size("c", "d") == 3
 
 
-def test_interrupted_compaction_is_finished_on_opening(spark, tmp_path):
+def test_acknowledged_writes_survive_a_crash(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    db = KV(spark, path, value_type="binary")
+    db.put("a", bytearray(b"\xff\x00"))
+    db.flush()
+    db.write([("put", "b", bytearray(b"2")), ("delete", "a"), ("put", "c", None)])
+    del db  # no close, no flush
+    with pytest.raises(RuntimeError):
+        KV(spark, path, value_type="binary")
+    again = KV(spark, path, value_type="binary", break_lock=True)
+    assert bytes(again.get("b")) == b"2" and again.get("a") is None and again.last_seq == 4
+    assert again.put("d", bytearray(b"4")) == 5
+    again.flush()
+    assert sorted(r["seq"] for r in again.log().collect()) == [1, 2, 3, 4, 5]
+    again.close()
+    with KV_closing(KV(spark, path, value_type="binary")) as third:
+        assert [r["key"] for r in third.scan().collect()] == ["b", "c", "d"] and third.last_seq == 5
+
+
+def test_a_flush_that_broke_off_is_done_again(spark, tmp_path):
     path = f"file://{tmp_path}/db"
     db = KV(spark, path)
-    db.write([("put", "a", "1"), ("put", "a", "2")])
+    db.put("a", "1")
+    db._run(spark.createDataFrame(db._rows, db.schema), 0)  # written, but not committed
+    again = KV(spark, path, break_lock=True)
+    assert again.log().count() == 1 and again.get("a") == "1"
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    db = KV(spark, path)
+    with pytest.raises(RuntimeError, match="in use"):
+        KV(spark, path)
+    db.put("a", "1")
+    thief = KV(spark, path, break_lock=True)
+    thief.put("b", "2")
+    thief.flush()
+    with pytest.raises(RuntimeError):
+        db.flush()
+    db.closed = True
+    thief.close()
+    KV(spark, path).close()
+
+
+def test_levels_are_picked_by_score(spark, tmp_path):
+    db = KV(spark, f"file://{tmp_path}/db", auto_compact=False)
+    for i in range(3):
+        db.put("a", str(i))
+        db.flush()
+    assert db.pick() == (0, 0.75) and not db.needs_compaction()
+    db.delete("a")
     db.flush()
-    db._append(kv.compact(db._stored(), db.last_seq), "overwrite", "next")
-    db._rows = []
-    again = KV(spark, path)
-    assert again.get("a") == "2" and again.log().count() == 1
+    assert db.pick() == (0, 1.0)
+    db.compact_level(0)
+    assert [r["level"] for r in db.runs] == [1] and db.log().count() == 0
+    db.put("b", "x" * 100)
+    db.flush()
+    db.compact_level(0)
+    db.LEVEL1_BYTES = 10
+    assert db.pick()[0] == 1 and db.needs_compaction()
+    db.compact_level(1)
+    assert [r["level"] for r in db.runs] == [2]
+    db.delete("b")
+    db.flush()
+    db.compact_level(0)  # the tombstone stays, as level 2 holds what it hides
+    assert db.log().count() == 2 and db.get("b") is None
+    db.compact_level(1)
+    assert db.log().count() == 0
+
+
+def test_compaction_by_itself_keeps_runs_few(spark):
+    db = KV(spark, flush_rows=1)
+    for i in range(9):
+        db.put(f"k{i % 3}", str(i))
+        assert len(db.runs) <= 4
+    assert {r["key"]: r["value"] for r in db.scan().collect()} == {"k0": "6", "k1": "7", "k2": "8"}
 
 
 def test_batches_from_frames(spark):

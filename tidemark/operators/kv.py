@@ -8,14 +8,19 @@ partial combine, so a key with very many versions does not slow a task down.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import json
+import os
+import socket
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.scratch import discard, materialize, scratch_path
+from tidemark.scratch import Manifest, create_text, discard, materialize, names, read_text, scratch_path, size_of
 
 TOMBSTONE, VALUE = 0, 1
 
@@ -144,58 +149,115 @@ class Snapshots:
 class KV:
     """An ordered, persistent map of string or binary keys with snapshots.
 
-    Single writes are collected in memory and flushed as one parquet run;
-    batches given as DataFrames are written as runs of their own.  Readers unite
-    the runs and what is still in memory.  Opening a path again continues after
-    its highest seq.  Parquet keeps min/max statistics of keys per row group and,
-    with ``bloom=True``, Bloom filters, by which point reads skip row groups.
+    A write is in a file of the write-ahead log before it returns, and in
+    memory; what has gathered there is flushed as one parquet run.  Batches
+    given as DataFrames are runs of their own.  Readers unite the runs and what
+    is in memory.  A :class:`Manifest` says which runs make up the store, so a
+    flush or compaction that is broken off leaves it as it was.  Opening a path
+    again continues after its highest seq, with the writes that had not been flushed.
+
+    Runs have levels: new ones come to level 0; a compaction merges a level into
+    the next.  The level to be compacted is the one with the highest score,
+    which is the number of runs over ``LEVEL0_RUNS`` for level 0 and the bytes
+    over what the level may hold for the others.  From a score of 1 on, writes
+    compact by themselves unless ``auto_compact`` is off.
+
+    One writer at a time: the path holds a lock from opening to :meth:`close`.
+    After a crash the lock stays and ``break_lock`` opens the path all the same.
+    Parquet keeps min/max statistics of keys per row group and, with
+    ``bloom=True``, Bloom filters, by which point reads skip row groups.
     ``comparator`` names an expression of ``key`` by which scans order; a store
     must be opened again with the name it was made with.
     """
 
+    LEVEL0_RUNS, LEVELS = 4, 7
+    #: Bytes that level 1 may hold; every further level may hold ten times as many.
+    LEVEL1_BYTES = 1 << 30
+
     def __init__(
         self, spark: SparkSession, path: str | None = None, *, key_type: str = "string", value_type: str = "string",
-        flush_rows: int = 10_000, bloom: bool = True, comparator: str = "key",
+        flush_rows: int = 10_000, bloom: bool = True, comparator: str = "key", auto_compact: bool = True, break_lock: bool = False,
     ) -> None:
-        self.spark, self.path = spark, path or scratch_path(spark, "kv")
+        self.spark, self.path = spark, (path or scratch_path(spark, "kv")).rstrip("/")
         self.schema = T._parse_datatype_string(f"key {key_type}, seq bigint, vtype tinyint, value {value_type}")
-        self.flush_rows, self.bloom, self.comparator = flush_rows, bloom, comparator
+        self.flush_rows, self.bloom, self.comparator, self.auto_compact = flush_rows, bloom, comparator, auto_compact
         self._rows: list[tuple] = []
         self.snapshots = Snapshots()
+        self.closed = True
+        self._lock(break_lock)
+        try:
+            self._manifest = Manifest(spark, self.path)
+            held = self._manifest.state
+            if held.get("comparator", comparator) != comparator:
+                raise ValueError("the store was made with another comparator")
+            if held.get("schema", self.schema.simpleString()) != self.schema.simpleString():
+                raise ValueError(f"the store was made as {held['schema']}")
+            self.runs: list[dict] = held.get("runs", [])
+            self.last_seq: int = held.get("last_seq", 0)
+            self._retired: list[str] = held.get("retired", [])
+            if not held:
+                self._commit(self.runs)
+            self._recover()
+        except BaseException:
+            self._unlock()
+            raise
         self.closed = False
-        self._finish_compaction()
-        self._check_comparator()
-        self.last_seq = self._stored().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-    def _check_comparator(self) -> None:
-        meta = f"{self.path}/meta"
-        if not self._exists(f"{meta}/_SUCCESS"):
-            self.spark.createDataFrame([(self.comparator,)], "comparator string").coalesce(1).write.mode("overwrite").parquet(meta)
-        elif self.spark.read.parquet(meta).first()[0] != self.comparator:
-            raise ValueError("the store was made with another comparator")
-
-    def _stored(self) -> DataFrame:
-        if not self._exists(f"{self.path}/log"):
+
+    # -- files
+
+    def _lock(self, take: bool) -> None:
+        file = f"{self.path}/lock"
+        if take:
+            discard(self.spark, file)
+        try:
+            create_text(self.spark, file, f"{socket.gethostname()} {os.getpid()}")
+        except OSError:
+            raise RuntimeError(f"the store at {self.path} is in use by {read_text(self.spark, file)}") from None
+
+    def _unlock(self) -> None:
+        discard(self.spark, f"{self.path}/lock")
+
+    def _commit(self, runs: list[dict], retired: Sequence[str] | None = None) -> None:
+        retired = self._retired if retired is None else list(retired)
+        state = {"comparator": self.comparator, "schema": self.schema.simpleString(), "runs": runs, "last_seq": self.last_seq, "retired": retired}
+        self._manifest.commit(state)
+        self.runs, self._retired = runs, retired
+
+    def _recover(self) -> None:
+        """Read back the writes that were acknowledged but not flushed."""
+        for name in sorted(names(self.spark, f"{self.path}/wal")):
+            if name.endswith(".json"):
+                for key, seq, vtype, value in json.loads(read_text(self.spark, f"{self.path}/wal/{name}")):
+                    if seq > self.last_seq:
+                        self._rows.append((_plain(key), seq, vtype, _plain(value)))
+        self.last_seq = max([self.last_seq, *[r[1] for r in self._rows]])
+
+    def _run(self, df: DataFrame, level: int) -> dict:
+        """Write rows as a run, sorted by key, newest first."""
+        name = f"run-{uuid.uuid4().hex[:16]}"
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        writer = rows.sortWithinPartitions("key", F.col("seq").desc()).write
+        if self.bloom:
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true")
+        writer.parquet(f"{self.path}/{name}")
+        return {"name": name, "level": level, "bytes": size_of(self.spark, f"{self.path}/{name}")}
+
+    def _read(self, runs: Sequence[dict]) -> DataFrame:
+        if not runs:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/log")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{r['name']}" for r in runs])
 
-    def log(self) -> DataFrame:
-        """All versions, stored and in memory."""
+    def _open(self) -> None:
         if self.closed:
             raise ValueError("the store is closed")
-        stored = self._stored()
+
+    def log(self) -> DataFrame:
+        """All versions, stored and in memory."""
+        self._open()
+        stored = self._read(self.runs)
         return stored.unionByName(self.spark.createDataFrame(self._rows, self.schema)) if self._rows else stored
 
-    def _append(self, df: DataFrame, mode: str = "append", to: str = "log") -> None:
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
-        writer = rows.sortWithinPartitions("key", F.col("seq").desc()).write.mode(mode)
-        if self.bloom:
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true")
-        writer.parquet(f"{self.path}/{to}")
+    # -- writes
 
     def put(self, key, value) -> int:
         return self.write([("put", key, value)])
@@ -205,12 +267,17 @@ class KV:
 
     def write(self, ops: Iterable[tuple]) -> int:
         """Apply ("put", key, value) and ("delete", key) in order and as a whole; returns the last seq."""
+        self._open()
         rows = []
         for op in ops:
             if op[0] not in ("put", "delete"):
                 raise ValueError(f"unknown operation {op[0]}")
             value = op[2] if op[0] == "put" else None
             rows.append((op[1], self.last_seq + 1 + len(rows), VALUE if op[0] == "put" else TOMBSTONE, value))
+        if not rows:
+            return self.last_seq
+        text = json.dumps([(_tagged(k), seq, vtype, _tagged(v)) for k, seq, vtype, v in rows])
+        create_text(self.spark, f"{self.path}/wal/{rows[0][1]:019d}.json", text)
         self._rows += rows
         self.last_seq += len(rows)
         if len(self._rows) >= self.flush_rows:
@@ -219,17 +286,24 @@ class KV:
 
     def write_frame(self, batch: DataFrame, order: Sequence[str]) -> int:
         """Apply a batch of rows (key, vtype, value and the columns of ``order``) in that order."""
-        numbered = sequence(batch, order, self.last_seq + 1)
         self.flush()
-        self._append(numbered)
-        self.last_seq = self._stored().agg(F.coalesce(F.max("seq"), F.lit(self.last_seq))).first()[0]
+        run = self._run(sequence(batch, order, self.last_seq + 1), 0)
+        self.last_seq = self._read([run]).agg(F.coalesce(F.max("seq"), F.lit(self.last_seq))).first()[0]
+        self._commit([*self.runs, run])
+        self._keep_up()
         return self.last_seq
 
     def flush(self) -> None:
-        """Write what is in memory as a run."""
+        """Write what is in memory as a run; the write-ahead log is then no longer needed."""
+        self._open()
         if self._rows:
-            self._append(self.spark.createDataFrame(self._rows, self.schema).coalesce(1))
+            run = self._run(self.spark.createDataFrame(self._rows, self.schema).coalesce(1), 0)
+            self._commit([*self.runs, run])
             self._rows = []
+            discard(self.spark, f"{self.path}/wal")
+            self._keep_up()
+
+    # -- reads
 
     def get(self, key, snapshot: int | None = None):
         """Value of a key, or None if it is not there."""
@@ -254,13 +328,57 @@ class KV:
     def release(self, snapshot: int) -> None:
         self.snapshots.release(snapshot)
 
+    def approximate_size(self, start=None, end=None) -> int:
+        return approximate_size(self.log(), start, end).first()[0]
+
+    # -- compaction
+
+    def _oldest(self) -> int:
+        held = self.snapshots.oldest()
+        return self.last_seq if held is None else held
+
+    def scores(self) -> list[float]:
+        """How full each level is; the last one takes everything."""
+        at = [[r for r in self.runs if r["level"] == i] for i in range(self.LEVELS - 1)]
+        return [len(at[0]) / self.LEVEL0_RUNS, *[sum(r["bytes"] for r in at[i]) / (self.LEVEL1_BYTES * 10 ** (i - 1)) for i in range(1, len(at))]]
+
+    def pick(self) -> tuple[int, float]:
+        """The level with the highest score, the upper one of equals, and that score."""
+        scores = self.scores()
+        return scores.index(max(scores)), max(scores)
+
+    def needs_compaction(self) -> bool:
+        return self.pick()[1] >= 1
+
+    def compact_level(self, level: int) -> None:
+        """Merge a level into the next one, without versions no reader needs."""
+        merged = [r for r in self.runs if r["level"] in (level, level + 1)]
+        if merged:
+            # a tombstone may go if no lower level can hold what it hides
+            whole = not any(r["level"] > level + 1 for r in self.runs)
+            new = compact(self._read(merged), self._oldest(), whole=whole)
+            self._replace(merged, new, level + 1)
+
+    def _replace(self, old: Sequence[dict], new: DataFrame, level: int) -> None:
+        # range-partitioned by key, so that later range reads touch few files
+        run = self._run(new.repartitionByRange(F.col("key")), level)
+        gone = self._retired
+        # replaced runs stay until the next compaction, for frames made before this one
+        self._commit([*[r for r in self.runs if r not in old], run], [r["name"] for r in old])
+        for name in gone:
+            discard(self.spark, f"{self.path}/{name}")
+
+    def _keep_up(self) -> None:
+        while self.auto_compact and self.needs_compaction():
+            self.compact_level(self.pick()[0])
+
     def compact(self, start=None, end=None) -> None:
         """Rewrite a key range, or everything, without versions no reader needs."""
         self.flush()
-        held = self.snapshots.oldest()
-        log = self._stored()
-        inside = between(log, start, end)
-        new = compact(inside, self.last_seq if held is None else held)
+        if not self.runs:
+            return
+        log = self._read(self.runs)
+        new = compact(between(log, start, end), self._oldest())
         if start is not None or end is not None:
             outside = F.lit(False)
             if start is not None:
@@ -268,31 +386,27 @@ class KV:
             if end is not None:
                 outside = outside | (F.col("key") >= F.lit(end))
             new = new.unionByName(log.where(outside).select(*new.columns))
-        # range-partitioned by key, so that later range reads touch few files
-        self._append(new.repartitionByRange(F.col("key")), "overwrite", "next")
-        self._finish_compaction()
-
-    def _finish_compaction(self) -> None:
-        """Put a completely written compaction in place of the log, also after a crash between the two steps."""
-        if not self._exists(f"{self.path}/next/_SUCCESS"):
-            return
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        old, new = fs_path(f"{self.path}/log"), fs_path(f"{self.path}/next")
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
-
-    def needs_compaction(self, runs: int = 4) -> bool:
-        """Whether at least ``runs`` files have gathered."""
-        return len(self._stored().inputFiles()) >= runs
-
-    def approximate_size(self, start=None, end=None) -> int:
-        return approximate_size(self.log(), start, end).first()[0]
+        self._replace(self.runs, new, max(1, *[r["level"] for r in self.runs]))
 
     def close(self) -> None:
-        self.flush()
-        self.closed = True
+        if not self.closed:
+            self.flush()
+            self.closed = True
+            self._unlock()
 
     def destroy(self) -> None:
         self.closed = True
         discard(self.spark, self.path)
+
+
+def _tagged(value):
+    """A key or value as JSON can hold it."""
+    if isinstance(value, (bytes, bytearray)):
+        return {"bytes": base64.b64encode(value).decode()}
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    raise TypeError(f"keys and values are text, bytes, numbers or booleans, not {type(value).__name__}")
+
+
+def _plain(value):
+    return bytearray(base64.b64decode(value["bytes"])) if isinstance(value, dict) else value
