@@ -57,7 +57,7 @@ def heavy_keys(
     """
     share = balanced_share(df.sparkSession) if share is None else share
     n = df.count() if total is None else total
-    if not n:
+    if n < max(1, min_rows):
         return []
     fraction = min(1.0, sample_rows / n)
     seen = df.select(key.alias("k"))
@@ -87,7 +87,7 @@ def skew_join(
     broadcast_rows: int = BROADCAST_ROWS,
     heavy_side_rows: int | None = None,
     merge: bool = False,
-    salts: int = 32,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right`` on one key, with heavy left keys kept apart.
 
@@ -99,13 +99,14 @@ def skew_join(
     * rows with a heavy key (found by sampling) meet a broadcast of the right rows
       of those keys; if these are more than ``broadcast_rows`` (counted, unless
       ``heavy_side_rows`` gives a proven bound), they are instead copied ``salts``
-      times and the heavy left rows are spread over the salts;
+      times (by default the number of shuffle partitions) and the heavy left rows are spread over the salts;
     * rows with a null key never match and go with these, so they are not
       gathered in one task;
     * all other rows are joined by an ordinary shuffle, by sort-merge if ``merge``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how}")
+    salts = salts or shuffle_partitions(left.sparkSession)
     lk, rk = col(left_key), col(right_key)
     on = lk == rk
     if residual is not None:
@@ -145,7 +146,7 @@ def per_key_results(
     dim_key: str | None = None,
     dim_columns: Sequence[str] = (),
     share: float | None = None,
-    salts: int = 32,
+    salts: int | None = None,
     heavy: Sequence | None = None,
 ) -> DataFrame:
     """One row per key: row count, sums, distinct counts, and columns of a dimension.
@@ -155,7 +156,8 @@ def per_key_results(
 
     * heavy rows meet a broadcast table of the heavy keys, which carries the
       dimension's columns if there is one, so they are not shuffled by key; their results are
-      built in two steps, first per (key, salt of the counted value), then per key;
+      built in two steps, first per (key, salt of the counted value), then per key, with as many salts as
+      there are shuffle partitions, so that a key can fill the whole cluster;
     * the remaining rows are joined with the dimension and grouped by an
       ordinary shuffle on the key.
 
@@ -166,6 +168,7 @@ def per_key_results(
     whatever their names.  An empty input gives no rows.
     """
     sums, distinct = dict(sums or {}), dict(distinct or {})
+    salts = salts or shuffle_partitions(fact.sparkSession)
     names_s, names_d = list(sums), list(distinct)
     rows = fact.select(
         col(key).alias("k"),

@@ -349,10 +349,19 @@ class BucketedRuns:
         entry = {"parts": [part], "runs": _intervals([i for e in entries for i in e["runs"]]), "bytes": self._size(part)}
         gone = self._retired
         self._commit([*[e for e in self._entries if e not in entries], entry], [p for e in entries for p in e["parts"]])
-        for p in gone:
+        self._remove(gone)
+
+    def _remove(self, parts: Sequence[int]) -> None:
+        for p in parts:
             self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (`{self.RUN}`={p})")
             discard(self.spark, f"{self.path}/{self.RUN}={p}")
 
+    def vacuum(self) -> None:
+        """Remove parts that are no longer in use, also those of the last merge."""
+        gone = self._retired
+        self._commit(self._entries, [])
+        self._remove(gone)
+
     def plain(self) -> DataFrame:
         """All rows read as files, which stays possible after :meth:`close`."""
         schema = self.spark.table(self.name).drop(self.RUN).schema
