@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from contextlib import closing as KV_closing
 
@@ -228,3 +229,35 @@ def test_against_a_model(spark, ops, snap, flush_at):
             if not hidden and not (v is None and seq <= snap):
                 want.add((k, seq))
     assert {(r["key"], r["seq"]) for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize("target", [200_000, 5])
+def test_reads_at_many_snapshots(spark, monkeypatch, target):
+    from tidemark.operators import changes
+
+    monkeypatch.setattr(changes, "LEAST_SAMPLED", 5)
+    r = random.Random(3)
+    keys = ["hot"] * 5 + ["a", "b", "", None]
+    versions = [(r.choice("xy"), r.choice(keys), r.choice([None, *range(1, 90, 3)]), r.choice(["p", "q", "", None]), 1) for _ in range(600)]
+    reads = [(i, r.choice(["x", "y", None]), r.choice([*keys, "none"]), r.choice([None, 0, 0, *range(1, 95)]), "s", 2) for i in range(500)]
+    reads += [(1000 + i, "x", "hot", 50, "s", 2) for i in range(60)]
+    want = {}
+    for i, t, k, s, *_ in reads:
+        hits = [(v[2], v[3] is not None, v[3]) for v in versions if None not in (t, k, s, v[2]) and v[:2] == (t, k) and (s == 0 or v[2] <= s)]
+        best = max(hits, key=lambda h: (h[0], h[1], h[2] or ""), default=(None, None, None))
+        want[i] = (best[0], best[2])
+    got = kv.read_at(
+        spark.createDataFrame(reads, "id long, t string, k string, at long, s string, x int"),
+        spark.createDataFrame(versions, "t string, k string, at long, value string, id int"),
+        ["t", "k"], "at", "value", target_rows=target,
+    )
+    assert got.columns == ["id", "t", "k", "at", "s", "x", "found_seq", "found_value"]
+    rows = got.collect()
+    assert len(rows) == len(reads) and {r["id"]: (r["found_seq"], r["found_value"]) for r in rows} == want
+
+
+def test_reads_over_nothing(spark):
+    reads = spark.createDataFrame([(1, "a", 0), (2, "a", 5)], "id long, k string, at long")
+    none = spark.createDataFrame([], "k string, at long, value string")
+    assert {tuple(r) for r in kv.read_at(reads, none, ["k"], "at", "value").collect()} == {(1, "a", 0, None, None), (2, "a", 5, None, None)}
+    assert kv.read_at(reads.limit(0), none, ["k"], "at", "value").count() == 0

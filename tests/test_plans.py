@@ -3,10 +3,8 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.helpers import nodes
-from tidemark.operators import relational as rel
 from tidemark.operators.skew import skew_join
 from tidemark.plans.engine import Engine
 
@@ -57,7 +55,6 @@ def test_limit_goes_below_projection_and_to_the_outer_side(engine):
 def test_limit_stays_above_an_order(engine):
     p = nodes(engine.sql("select o_orderkey from orders order by o_totalprice desc limit 3"))
     assert "TakeOrderedAndProject" in p and "NULLS FIRST" in p and "rangepartitioning" not in p
-    assert "TakeOrderedAndProject" in nodes(rel.top_k(engine.table("orders"), 3, ("o_totalprice", "desc")))
 
 
 def test_projections_and_filters_combine(engine):
@@ -102,19 +99,6 @@ def test_explain(engine):
     assert text.startswith("original plan:") and "optimized plan:" in text
 
 
-def test_relational_operators(spark):
-    l = spark.createDataFrame([(0, 4), (1, 5), (2, None)], "a int, k int")  # noqa: E741
-    r = spark.createDataFrame([(4, 9), (5, 1), (5, 7), (None, 3)], "k2 int, v int")
-    assert rel.equi_join(l, r, [("k", "k2")]).count() == 3
-    out = rel.equi_join(l, r, [("k", "k2")], "left", residual=r["v"] > 5)
-    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(0, 4, 4, 9), (1, 5, 5, 7), (2, None, None, None)]))
-    assert [x["a"] for x in rel.order(l, ("k", "desc")).collect()] == [2, 1, 0]
-    assert [x["a"] for x in rel.limit(rel.order(l, ("a", "asc")), 1, 1).collect()] == [1]
-    assert rel.aggregate(rel.where(l, F.col("a") > 9), [], n=F.count("a")).first()[0] == 0
-    assert rel.aggregate(l, [F.col("a") % 2], n=F.count("k")).count() == 2
-    assert rel.project(l, x="a", y=F.col("a") + 1).columns == ["x", "y"]
-
-
 def test_shell(spark, sf):
     import io
 
@@ -126,3 +110,9 @@ def test_shell(spark, sf):
         interactive(e, lines, out)
     text = out.getvalue()
     assert "loaded nation" in text and "| 25 |" in text and "error:" in text and "optimized plan" in text and "| 9 |" not in text
+
+
+def test_tables_shown_say_when_there_are_more_rows(spark):
+    from tidemark.plans.render import table_text
+
+    assert "there are more" in table_text(spark.range(5), 4) and "there are more" not in table_text(spark.range(4), 4)

@@ -1,9 +1,7 @@
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import types
-from tidemark.functions.scalar import add_interval, divide, subtract_interval, try_constant
 from tidemark.plans.lexer import render, statements, tokenize
 
 
@@ -43,16 +41,3 @@ def test_lexer_leaves_literals_and_comments_alone():
     sql = "select 'a;b -- no' as \"x;y\", 1.5e3 /* ; */ from t; -- end ;\nselect 2"
     assert [render(s) for s in statements(sql)] == ["select 'a;b -- no' as `x;y` , 1.5e3 from t", "select 2"]
     assert [t.text for t in tokenize("a<=b!=c=>d")] == ["a", "<=", "b", "!=", "c", "=>", "d"]
-
-
-def test_scalars(spark):
-    df = spark.createDataFrame([(7, 2, 7.0, "2020-01-31"), (None, 2, None, None)], "a int, b int, c double, d string").withColumn("d", F.col("d").cast("date"))
-    out = df.select(
-        divide(F.col("a"), F.col("b"), T.IntegerType()).alias("i"), divide(F.col("c"), F.col("b"), T.DoubleType()).alias("f"),
-        add_interval(F.col("d"), 1, "month").cast("string").alias("m"), subtract_interval(F.col("d"), 1, "HOURS").cast("string").alias("h"),
-        add_interval(F.col("d"), 2, "weeks").cast("string").alias("w"), add_interval(F.col("d"), 1, "year").cast("string").alias("y"), try_constant("x", "int").alias("t"),
-    )
-    assert [tuple(r) for r in out.collect()] == [(3, 3.5, "2020-02-29", "2020-01-30", "2020-02-14", "2021-01-31", None), (None,) * 7]
-    assert out.schema["i"].dataType == T.IntegerType()
-    with pytest.raises(ValueError):
-        add_interval(F.col("d"), 1, "eon")

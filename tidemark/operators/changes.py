@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import SAMPLE_ROWS
@@ -54,7 +54,7 @@ def _signed_sum(versions: DataFrame, group: list[str], payload: list[str], keep_
 LEAST_SAMPLED = 20
 
 
-def _hot_groups(versions: DataFrame, total: int, target_rows: int) -> list:
+def hot_groups(versions: DataFrame, total: int, target_rows: int) -> list:
     """(key hash, lowest seq, highest seq, blocks) of the keys with very many changes.
 
     They are taken from a sample of about SAMPLE_ROWS rows, so there are at most
@@ -70,6 +70,16 @@ def _hot_groups(versions: DataFrame, total: int, target_rows: int) -> list:
     return [(r["h"], r["lo"], r["hi"], math.ceil(r["c"] / fraction / target_rows) + 1) for r in found]
 
 
+def block_of(seq: str) -> Column:
+    """Block of a row joined with its key's line of :func:`hot_groups`.
+
+    It is monotone in ``seq``, and clamped, so a bound that the sample missed only makes an end block larger.
+    """
+    lo, hi, n = F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("blocks")
+    cut = F.floor((F.col(seq).cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * n)
+    return F.greatest(F.lit(0), F.least(n - 1, cut)).cast("bigint")
+
+
 def _once(rows: DataFrame, k: list[str], p: list[str]) -> DataFrame:
     """One row per key and seq; the lowest (op, payload) if copies disagree."""
     if not p:
@@ -124,7 +134,7 @@ def apply_changes(
         rows = rows.unionByName(shaped(base, F.lit(PUT)).where(F.col("seq").isNotNull()))
     h = F.xxhash64(*k)
     total = feed.count()
-    hot = _hot_groups(rows.withColumn("h", h), total, target_rows)
+    hot = hot_groups(rows.withColumn("h", h), total, target_rows)
     table = F.broadcast(feed.sparkSession.createDataFrame(hot, "hh bigint, lo bigint, hi bigint, blocks int"))
     cold = rows.join(table, h == F.col("hh"), "left_anti") if hot else rows
     # one shuffle, by key, serves the removal of copies, the window and the sums
@@ -132,11 +142,7 @@ def apply_changes(
     if hot:
         # copies meet in the tasks that read them, as one message may have very many
         one = _once(rows.join(table.select("hh"), h == F.col("hh"), "left_semi"), k, p)
-        # monotone in seq, and clamped, so a bound that the sample missed only makes an end block larger
-        lo, hi, n = F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("blocks")
-        cut = F.floor((F.col("seq").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * n)
-        block = F.greatest(F.lit(0), F.least(n - 1, cut)).cast("bigint").alias("block")
-        blocks = one.join(table, h == F.col("hh")).select(*k, "seq", "op", *p, block)
+        blocks = one.join(table, h == F.col("hh")).select(*k, "seq", "op", *p, block_of("seq").alias("block"))
         net = _signed_sum(blocks, [*k, "block"], p, keep_deletes=True).drop("block")
         out = out.unionByName(_signed_sum(net, k, p, keep_deletes=False).select(*k, "seq", *p))
     return out.select(

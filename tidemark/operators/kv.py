@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.scratch import Manifest, create_text, discard, materialize, names, read_text, scratch_path, size_of
+from tidemark.operators.changes import block_of, hot_groups
+from tidemark.operators.skew import skew_join
+from tidemark.scratch import Manifest, col, create_text, discard, materialize, names, read_text, scratch_path, size_of
 
 TOMBSTONE, VALUE = 0, 1
 
@@ -91,6 +93,73 @@ def compact(log: DataFrame, oldest_snapshot: int, *, whole: bool = True) -> Data
     return later.unionByName(kept.select("key", "seq", "vtype", "value"))
 
 
+def read_at(reads: DataFrame, versions: DataFrame, key: Sequence[str], seq: str, value: str, *, latest: int = 0, target_rows: int = 200_000) -> DataFrame:
+    """What reads of many snapshots find: the columns of ``reads``, ``found_seq`` and ``found_value``.
+
+    A read at ``seq`` finds the version of its key with the highest seq at or
+    below; a read at ``latest`` finds the newest one.  Of several values under
+    one (key, seq) the highest counts, null lowest.  A read finds nothing (nulls) if there is
+    no version, or if a key column or its ``seq`` is null.  ``versions`` has the
+    columns ``key``, ``seq`` and ``value``; its other columns are ignored.
+
+    Reads and versions are not paired.  The newest versions come from an
+    aggregate; for the other reads the different (key, seq) asked for and the versions are
+    put in one order of seq, and each takes the last version before it.  A key
+    with very many of them is cut into blocks of its seq range, whose last
+    versions are carried on from block to block.  Answers go back to the reads
+    by a join that keeps heavy keys apart.
+    """
+    k = [f"k{i}" for i in range(len(key))]
+    kept = [f"v{i}" for i in range(len(reads.columns))]
+    hashed = F.xxhash64(*k).alias("h")
+
+    def shaped(df: DataFrame, *more: Column) -> DataFrame:
+        rows = df.select(*[col(c).alias(a) for c, a in zip(key, k)], col(seq).cast("bigint").alias("s"), *more)
+        for a in k:
+            rows = rows.where(F.col(a).isNotNull())
+        return rows.where(F.col("s").isNotNull()).select(hashed, "*")
+
+    def answers(asking: DataFrame, found: DataFrame, at: list[str]) -> DataFrame:
+        """Bring ``found`` (one row per ``at``) to the reads."""
+        left = asking.withColumn("lh", F.xxhash64(*at))
+        right = found.select(F.xxhash64(*at).alias("rh"), *[F.col(a).alias(f"r_{a}") for a in at], "x")
+        same = F.lit(True)
+        for a in at:
+            same = same & (F.col(a) == F.col(f"r_{a}"))
+        return skew_join(left, right, "lh", "rh", "left", residual=same).select(*kept, "x")
+
+    stored = shaped(versions, col(value).alias("v")).groupBy("h", *k, "s").agg(F.max(F.struct("v")).alias("v"))
+    stored = stored.select("h", *k, "s", F.struct("s", F.col("v.v").alias("v")).alias("x"))
+    named = reads.select(
+        *[col(c).alias(a) for c, a in zip(key, k)], col(seq).cast("bigint").alias("s"), *[col(c).alias(v) for c, v in zip(reads.columns, kept)]
+    )
+    now = F.coalesce(F.col("s") == latest, F.lit(False))
+    newest_of = stored.groupBy("h", *k).agg(F.max_by("x", "s").alias("x"))
+    out = [answers(named.where(now), newest_of, k)]
+
+    asked = shaped(reads).where(F.col("s") != latest).distinct().select("h", *k, "s", F.lit(None).cast(stored.schema["x"].dataType).alias("x"))
+    events = stored.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1)))
+    order = ["s", "asks"]  # a version at the seq of a read comes before it
+    last = F.last("x", ignorenulls=True)
+    hot = hot_groups(events.withColumnRenamed("s", "seq"), events.count(), target_rows)
+    table = F.broadcast(reads.sparkSession.createDataFrame(hot, "hh bigint, lo bigint, hi bigint, blocks int"))
+    cold = events.join(table, F.col("h") == F.col("hh"), "left_anti") if hot else events
+    found = cold.withColumn("x", last.over(Window.partitionBy("h", *k).orderBy(*order))).where("asks = 1").select(*k, "s", "x")
+    if hot:
+        cut = events.join(table, F.col("h") == F.col("hh")).select("h", *k, "s", "x", "asks", block_of("s").alias("block"))
+        inside = cut.withColumn("x", last.over(Window.partitionBy("h", *k, "block").orderBy(*order)))
+        ends = cut.groupBy("h", *k, "block").agg(F.max_by("x", F.when(F.col("asks") == 0, F.col("s"))).alias("e"))
+        before = F.last("e", ignorenulls=True).over(Window.partitionBy("h", *k).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select("h", *k, "block", before.alias("e"))
+        carried = inside.where("asks = 1").join(ends, ["h", *k, "block"], "left")
+        found = found.unionByName(carried.select(*k, "s", F.coalesce("x", "e").alias("x")))
+    out.append(answers(named.where(~now), found, [*k, "s"]))
+    both = out[0].unionByName(out[1])
+    return both.select(
+        *[F.col(v).alias(c) for c, v in zip(reads.columns, kept)], F.col("x.s").alias("found_seq"), F.col("x.v").alias("found_value")
+    )
+
+
 def approximate_size(log: DataFrame, start=None, end=None) -> DataFrame:
     """Bytes of keys and values in a key range, all versions: one row, ``bytes``."""
     size = F.octet_length(F.col("key").cast("string")) + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))

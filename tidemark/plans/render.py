@@ -21,12 +21,14 @@ def rows_text(df: DataFrame) -> list[str]:
 
 
 def table_text(df: DataFrame, limit: int = 1_000) -> str:
-    """A bordered table of at most ``limit`` rows, for display."""
-    rows = [[cell(v) for v in r] for r in df.limit(limit).collect()]
+    """A bordered table of at most ``limit`` rows, for display; a line below says if there are more."""
+    found = df.limit(limit + 1).collect()
+    rows = [[cell(v) for v in r] for r in found[:limit]]
     widths = [max([len(c), *[len(r[i]) for r in rows]]) for i, c in enumerate(df.columns)]
     edge = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
 
     def line(cells) -> str:
         return "|" + "|".join(f" {c:<{w}} " for c, w in zip(cells, widths)) + "|"
 
-    return "\n".join([edge, line(df.columns), edge, *[line(r) for r in rows], edge])
+    more = [f"(the first {limit} rows; there are more)"] if len(found) > limit else []
+    return "\n".join([edge, line(df.columns), edge, *[line(r) for r in rows], edge, *more])

@@ -349,10 +349,8 @@ def k25_request_service(spark: SparkSession, d: str) -> DataFrame:
     """ListKV over UpdateKV: the value a read finds at its seq (0: the latest); tombstone updates are not stored."""
     upd = spark.read.parquet(f"{d}/update_kv_request.parquet").where(F.col("value_type") == 0)
     ask = spark.read.parquet(f"{d}/list_kv_request.parquet")
-    seen = upd.select(F.col("tenant").alias("t"), F.col("key").alias("k"), F.col("seq").alias("s"), F.col("value").alias("v")).distinct()
-    at = (F.col("key") == F.col("k")) & (F.col("tenant") == F.col("t")) & ((F.col("seq") == 0) | (F.col("s") <= F.col("seq")))
-    found = ask.join(seen, at, "left").groupBy("request_id").agg(F.max(F.struct("s", "v")).alias("x"))
-    return found.select("request_id", F.col("x.s").alias("seq"), F.col("x.v").alias("value"))
+    found = kv.read_at(ask.select("request_id", "tenant", "key", "seq"), upd, ["tenant", "key"], "seq", "value")
+    return found.select("request_id", F.col("found_seq").alias("seq"), F.col("found_value").alias("value"))
 
 
 # -- sources, sinks and definitions: each goes through files or tables that it makes itself
