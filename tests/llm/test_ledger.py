@@ -43,14 +43,14 @@ def test_answers_have_no_errors(spark, heavy, batches):
     assert firsts.count() == len({k for _, k, t, w, *_ in rows if w and k is not None and t is not None})
 
 
-def test_history_is_joined_without_shuffling_it(spark):
+def test_neither_history_nor_batch_is_shuffled_again(spark):
     df = spark.createDataFrame(make(200, 2), SCHEMA)
     ledger = KeyLedger(spark)
     ledger.observe(df, "key", "at", carry=["id"], heavy=[])
     assert "Exchange" not in ledger.first_seen()._jdf.queryExecution().executedPlan().toString()
     out = ledger.observe(df, "key", "at", carry=["id"], heavy=[])
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def test_a_batch_does_not_see_later_ones(spark):
@@ -82,3 +82,49 @@ def test_empty_batches_and_clashing_result_name(spark):
         ledger.observe(df.withColumn("seen", F.lit(1)), "key", "at", carry=["seen"])
     named = ledger.observe(df.withColumn("seen", F.lit(1)), "key", "at", carry=["seen"], seen="known")
     assert named.columns == ["seen", "known"]
+
+
+def one(spark, *rows):
+    return spark.createDataFrame(list(rows), "id long, key string, at long")
+
+
+def answers(ledger, batch, **more):
+    return {tuple(r) for r in ledger.observe(batch, "key", "at", carry=["id"], **more).collect()}
+
+
+@pytest.mark.parametrize("heavy", [[], ["a"]])
+def test_a_ledger_goes_on_after_reopening_compaction_and_replay(spark, tmp_path, heavy):
+    path = f"file://{tmp_path}/ledger"
+    first = one(spark, (1, "a", 1), (2, "b", 1), (3, "a", 2))
+    ledger = KeyLedger(spark, at_type="bigint", path=path, buckets=3)
+    assert answers(ledger, first, heavy=heavy) == {(1, False), (2, False), (3, True)}
+    again = KeyLedger(spark, at_type="bigint", path=path)
+    assert again.runs == 1 and again.store.buckets == 3
+    second = one(spark, (4, "a", 3), (5, "c", 3))
+    assert answers(again, second, heavy=heavy) == {(4, True), (5, False)}
+    assert answers(again, second, heavy=heavy, run=1) == {(4, True), (5, False)} and again.runs == 2
+    again.compact()
+    assert again.runs == 2 and len(again.store.entries()) == 1 and again.first_seen().count() == 3
+    third = KeyLedger(spark, at_type="bigint", path=path)
+    assert answers(third, second, heavy=heavy, run=1) == {(4, True), (5, False)} and third.runs == 2
+    assert answers(third, one(spark, (6, "c", 4), (7, "d", 4), (8, None, 4)), heavy=heavy) == {(6, True), (7, False), (8, False)}
+    assert {tuple(r) for r in third.first_seen().collect()} == {("a", 1), ("b", 1), ("c", 3), ("d", 4)}
+    with pytest.raises(ValueError):
+        KeyLedger(spark, at_type="bigint", path=path, buckets=5)
+
+
+def test_a_late_batch_meets_what_was_merged_over_it(spark, tmp_path):
+    ledger = KeyLedger(spark, at_type="bigint", buckets=2)
+    answers(ledger, one(spark, (1, "a", 1)), run=0)
+    answers(ledger, one(spark, (2, "b", 9)), run=2)
+    ledger.compact()
+    assert answers(ledger, one(spark, (3, "a", 5), (4, "b", 5), (5, "b", 10)), run=1) == {(3, True), (4, False), (5, True)}
+    assert {tuple(r) for r in ledger.first_seen().collect()} == {("a", 1), ("b", 5)}
+
+
+def test_rows_kept_for_answers_are_bounded(spark):
+    ledger = KeyLedger(spark, at_type="bigint", buckets=1)
+    ledger.KEPT = 2
+    for i in range(4):
+        assert answers(ledger, one(spark, (i, "a", i)), heavy=[]) == {(i, i > 0)}
+    assert len(ledger._staged) == 2

@@ -51,10 +51,27 @@ def test_against_sorting(spark, spread, n):
     assert sorted(map(tuple, got.collect())) == sorted(truth(rows, n))
 
 
-def test_many_groups_take_the_way_without_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("least", [1, 10_000])
+@pytest.mark.parametrize("spread", SPREADS)
+def test_many_groups_take_the_way_without_broadcast(spark, monkeypatch, spread, least):
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(topn, "MIN_HEAVY_ROWS", least)
+    rows = make(900, 4, SPREADS[spread])
+    got = top_n(spark.createDataFrame(rows, SCHEMA), "dep", "pay", "id", 3).collect()
+    assert len(got) == len(truth(rows, 3)) and {tuple(r) for r in got} == truth(rows, 3)
+
+
+@pytest.mark.parametrize("heavy", [[], [1]])
+def test_with_many_groups_no_round_shuffles_items(spark, monkeypatch, heavy):
     monkeypatch.setattr(topn, "BROADCAST_GROUPS", 0)
-    rows = make(600, 4, SPREADS["wide"])
-    assert {tuple(r) for r in top_n(spark.createDataFrame(rows, SCHEMA), "dep", "pay", "id", 3).collect()} == truth(rows, 3)
+    raw = spark.createDataFrame([(i % 40, i, i, i) for i in range(400)], "g long, c1 long, i long, s long")
+    items = topn._Items(raw, 40, heavy)
+    state = topn.materialize(items.bounds([F.min("c1").alias("lo1")]).withColumnRenamed("g", "sg"), "state")
+    met = items.meet(items.rows, state)
+    assert met.count() == 400 and met.columns[-2:] == ["n", "lo1"]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    # the one shuffle is of the state, one row a group
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(sh") == 1 == plan.count("Exchange hashpartitioning")
 
 
 def test_empty_and_zero(spark):

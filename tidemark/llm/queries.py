@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tidemark.llm.quantiles import RELATIVE_ERROR, merge_sketches, read_quantile
 from tidemark.llm.repetition import repetition
 from tidemark.llm.topn import top_n
 from tidemark.operators.skew import MIN_HEAVY_ROWS, heavy_keys
-from tidemark.operators.upsert import slices
+from tidemark.operators.upsert import spans
 from tidemark.scratch import materialize
 
 #: Batches, in order of arrival, in which the key ledger sees the two tables.
@@ -32,14 +33,13 @@ def _key_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _key_answers(spark: SparkSession, d: str) -> DataFrame:
     rows = _key_rows(spark, d)
-    heavy = heavy_keys(rows, F.col("key"), min_rows=MIN_HEAVY_ROWS)
+    total, tests = spans(rows, "arrived_at", LEDGER_BATCHES)
+    heavy = heavy_keys(rows, F.col("key"), min_rows=MIN_HEAVY_ROWS, total=total)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ledger = KeyLedger(spark, types["key"], types["arrived_at"])
-    out = None
-    for batch in slices(rows, "arrived_at", LEDGER_BATCHES):
-        part = ledger.observe(batch, "key", "arrived_at", writes=F.col("writes"), carry=["source_table", "record_id"], heavy=heavy)
-        out = part if out is None else out.unionByName(part)
-    return out
+    carry = ["source_table", "record_id"]
+    answers = ledger.observe_all(rows, "key", "arrived_at", dict(enumerate(tests)), writes=F.col("writes"), carry=carry, heavy=heavy)
+    return reduce(DataFrame.unionByName, answers)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
