@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.changes import apply_changes
 from tidemark.operators.orphans import Reference, month, orphans
 from tidemark.operators.skew import heavy_hitters, per_key_results
-from tidemark.operators.upsert import deduplicate
+from tidemark.operators.upsert import UpsertStore, deduplicate, slices
+from tidemark.scratch import scratch_path
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +37,22 @@ def p2_requests_once(spark: SparkSession, d: str) -> DataFrame:
     return once.select("tenant", "seq", "delivery_id", "value_type", "key", "value", "copies")
 
 
+def p2_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """p2_requests_once through a store that is closed, merged, opened again, and gets a batch twice."""
+    req = spark.read.parquet(f"{d}/update_kv_request.parquet")
+    shape = [["tenant", "seq"], ["arrived_at", "delivery_id"], ["value_type", "key", "value"]]
+    batches, path = slices(req, "batch_id", 4), scratch_path(spark, "reopened")
+    store = UpsertStore(spark, req, *shape, path=path)
+    for run, batch in enumerate(batches[:2]):
+        store.upsert(batch, run)
+    store.compact()
+    store.close()
+    store = UpsertStore(spark, req, *shape, path=path)
+    for run, batch in enumerate(batches):  # the first two come again
+        store.upsert(batch, run)
+    return store.merged().select("tenant", "seq", "delivery_id", "value_type", "key", "value", "copies")
+
+
 def p2_responses_once(spark: SparkSession, d: str) -> DataFrame:
     """Exactly one answer per (tenant, seq): the last that came, whatever the others said."""
     res = spark.read.parquet(f"{d}/update_kv_response.parquet")
@@ -127,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_requests_once": p2_requests_once,
+        "p2_reopened": p2_reopened,
         "p2_responses_once": p2_responses_once,
         "p3_found": p3_found,
         "p3_state": p3_state,
@@ -138,6 +156,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_ONCE = """
+          select tenant, seq, delivery_id, value_type, key, value, copies from (
+            select *, count(*) over (partition by tenant, seq) as copies,
+              row_number() over (partition by tenant, seq order by arrived_at nulls first, delivery_id nulls first) as rn
+            from update_kv_request) where rn = 1"""
+
 _LAST = """
   select tenant, key, value_type, seq, value,
          row_number() over (partition by tenant, key order by seq desc, value_type, value nulls first) as rn
@@ -167,11 +191,8 @@ def oracle_sql() -> dict[str, str]:
           union all
           select 'update_kv_response', tenant, seq from update_kv_response
           group by tenant, seq having count(*) >= 2""",
-        "p2_requests_once": """
-          select tenant, seq, delivery_id, value_type, key, value, copies from (
-            select *, count(*) over (partition by tenant, seq) as copies,
-              row_number() over (partition by tenant, seq order by arrived_at nulls first, delivery_id nulls first) as rn
-            from update_kv_request) where rn = 1""",
+        "p2_requests_once": _ONCE,
+        "p2_reopened": _ONCE,
         "p2_responses_once": """
           select tenant, seq, response_id, value_type, ack, copies from (
             select *, count(*) over (partition by tenant, seq) as copies,

@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import kv
 from tidemark.operators.bloom import bloom_filter
+from tidemark.operators.kv import KV
+from tidemark.operators.upsert import slices
 from tidemark.plans.engine import Engine
+from tidemark.plans.render import rows_text
 from tidemark.scratch import scratch_path
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -208,6 +211,17 @@ SQL = {
     ),
     # O1
     "o1_sort_asc_nulls_first": "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g asc nulls first, o_orderkey limit 40",
+    # A10
+    "a10_distinct_on": "select distinct on (o_orderstatus) o_orderstatus, o_orderpriority from orders",
+    # F4
+    "f4_int_types": "select n_nationkey / 2 as i, n_nationkey / n_regionkey as j, (n_nationkey + 1) / 2 + 7 / 2 as k from nation where n_regionkey > 0",
+    # F13
+    "f13_implicit_widen": (
+        "select n_nationkey + c_custkey as s, n_regionkey * c_acctbal as p, n_nationkey < c_acctbal as lt from nation "
+        "join customer on n_nationkey = c_nationkey"
+    ),
+    # F15
+    "f15_constant_limit": "select n_nationkey from nation order by n_nationkey limit 2 + 3 offset 1 + 1",
     # O1
     "o1_sort_desc_whole": "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g desc nulls first, o_orderkey",
     # O1
@@ -216,6 +230,8 @@ SQL = {
 
 #: Oracle texts that differ from the engine's.
 ORACLE = {
+    "a10_distinct_on": "select distinct o_orderstatus, o_orderpriority from orders",
+    "f4_int_types": "select n_nationkey // 2 as i, n_nationkey // n_regionkey as j, (n_nationkey + 1) // 2 + 7 // 2 as k from nation where n_regionkey > 0",
     "s11_values_list": "select col1 as id, col2 as name from (values (1,'a'),(2,'b'),(3,null)) t(col1,col2)",
     "f4_int_div": "select o_orderkey, o_orderkey // 7 as d from orders",
     "f6_date_plus_day": "select o_orderkey, cast(cast(o_orderdate as date) + interval '1' day as date) as d from orders",
@@ -424,8 +440,12 @@ def s20_copy_from(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def s13_s15_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return _with_engine(spark, d, "create table made(a int, b varchar); select table_name from query_tables() where table_name = 'made' or table_name = 'region'")
+def s13_query_tables(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table made(a int, b varchar); select schema_name, schema_oid, table_name, table_oid from query_tables()", region="", nation="")
+
+
+def s15_show_tables(spark: SparkSession, d: str) -> DataFrame:
+    return _with_engine(spark, d, "create table made(a int, b varchar); create table gone(a int); drop table gone; show tables", region="", nation="")
 
 
 def s14_s16_describe(spark: SparkSession, d: str) -> DataFrame:
@@ -433,7 +453,124 @@ def s14_s16_describe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s21_explain(spark: SparkSession, d: str) -> DataFrame:
-    return _with_engine(spark, d, "explain select o_orderkey from orders where o_custkey = 1").select("type")
+    """The three plans and what tells them apart: where the filter is, and which columns are read."""
+    plans = _with_engine(spark, d, "explain select x.k from (select o_orderkey as k, o_custkey as c, o_totalprice from orders) x where x.c = 1 + 2", orders="")
+    return plans.select(
+        "type",
+        F.col("plan").contains("SubqueryAlias").alias("has_alias"),
+        F.col("plan").rlike(r"= 3\b|,3\)").alias("constant_folded"),
+        F.col("plan").contains("PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,3)]").alias("filter_in_scan"),
+        F.col("plan").contains("ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>").alias("columns_pruned"),
+    )
+
+
+def s22_explain_text(spark: SparkSession, d: str) -> DataFrame:
+    """Both plans as text, and the operators in each."""
+    engine = Engine(spark)
+    engine.register_parquet("nation", f"{d}/nation.parquet")
+    text = engine.explain("select count(n_name) as n from nation where n_regionkey = 1")
+    rows = [(name, all(word in part for word in ("Aggregate", "Filter", "n_regionkey"))) for name, part in zip(("original", "optimized"), text.split("optimized plan:"))]
+    return spark.createDataFrame(rows, "plan string, complete boolean")
+
+
+def s23_result_text(spark: SparkSession, d: str) -> DataFrame:
+    """A result as lines of text (25 rows)."""
+    df = _with_engine(spark, d, "select n_nationkey, nullif(n_regionkey, 0) as r, '' as e, n_regionkey > 2 as b from nation", nation="")
+    return spark.createDataFrame([(line,) for line in rows_text(df)], "line string")
+
+
+def sel_p7_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Statements and whether they are refused."""
+    engine = Engine(spark)
+    engine.register_parquet("nation", f"{d}/nation.parquet")
+    tried = [
+        "select nothing from nation", "select n_name from nowhere", "select n_nationkey from nation a join nation b on a.n_name = b.n_name",
+        "select n_name from nation where n_name > 5", "select n_name, count(*) from nation", "selec 1", "select * from (select 1 as a)", "insert into nation values (1)",
+        "select n_name from nation",
+    ]
+    rows = []
+    for text in tried:
+        try:
+            engine.sql(text)
+            rows.append((text, False))
+        except Exception:
+            rows.append((text, True))
+    return spark.createDataFrame(rows, "statement string, refused boolean")
+
+
+def _positions(df: DataFrame) -> DataFrame:
+    """The rows of a sorted result with their place in it."""
+    return kv.sequence(df.withColumn("at", F.monotonically_increasing_id()), ["at"], 0).drop("at")
+
+
+def o1_default_desc(spark: SparkSession, d: str) -> DataFrame:
+    """Where rows stand in a sort that says nothing about nulls."""
+    return _positions(_with_engine(spark, d, "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g desc, o_orderkey", orders=""))
+
+
+def o1_default_asc(spark: SparkSession, d: str) -> DataFrame:
+    return _positions(_with_engine(spark, d, "select o_orderkey, nullif(o_custkey % 5, 0) as g from orders order by g, o_orderkey desc", orders=""))
+
+
+# -- the store: all events, in the order of event_id, numbered from 1
+
+
+def _store(spark: SparkSession, d: str, batches: int = 1, **options) -> tuple[KV, list[DataFrame]]:
+    events = _log(spark, d).withColumnRenamed("seq", "n").withColumn("n", F.col("n").cast("bigint"))
+    options = {"key_type": "bigint", "value_type": "double"} | options
+    return KV(spark, **options), slices(events, "n", batches)
+
+
+def k6_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot taken in the middle of the log still shows that state after everything was written and compacted."""
+    db, parts = _store(spark, d, 2)
+    db.write_frame(parts[0], ["n"])
+    then = db.snapshot()
+    for p in parts[1:]:
+        db.write_frame(p, ["n"])
+    db.compact()
+    out = _kv(db.scan(snapshot=then))
+    db.close()
+    return out
+
+
+def k13_k15_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Runs flushed one after another are compacted by level, by themselves; what is left is one version a key or so."""
+    db, parts = _store(spark, d, 9)
+    for p in parts:
+        db.write_frame(p, ["n"])
+    few = len(db.runs) <= KV.LEVEL0_RUNS and max(r["level"] for r in db.runs) >= 1
+    out = db.scan().select(F.col("key").alias("k"), "seq", F.col("value").alias("v"), F.lit(few).alias("runs_are_few"))
+    db.close()
+    return out
+
+
+def k19_k22_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Acknowledged writes that were not flushed are there after a crash; a second writer is refused meanwhile."""
+    db, parts = _store(spark, d)
+    db.write_frame(parts[0], ["n"])
+    db.write([("put", -1, 0.5), ("put", -2, 1.5), ("delete", -1)])
+    try:
+        KV(spark, db.path, key_type="bigint", value_type="double")
+        refused = False
+    except RuntimeError:
+        refused = True
+    again = KV(spark, db.path, key_type="bigint", value_type="double", break_lock=True)
+    out = again.scan().select(F.col("key").alias("k"), F.col("value").alias("v"), F.lit(refused).alias("refused"))
+    again.close()
+    return out
+
+
+def s4_kv_table(spark: SparkSession, d: str) -> DataFrame:
+    """A key-value store joined as a table."""
+    db, parts = _store(spark, d)
+    db.write_frame(parts[0], ["n"])
+    engine = Engine(spark)
+    engine.register_kv("latest", db)
+    engine.register_parquet("customer", f"{d}/customer.parquet")
+    out = engine.sql("select c.c_custkey, l.value from customer c join latest l on c.c_custkey = l.key")
+    db.close()
+    return out
 
 
 def f10_typed_constants(spark: SparkSession, d: str) -> DataFrame:
@@ -446,7 +583,7 @@ def f9_interval_units(spark: SparkSession, d: str) -> DataFrame:
     return _with_engine(spark, d, f"select o_orderkey, {day} + interval '36' hour as h, {day} - interval '1' minute as m, {day} + interval '2' week as w from orders")
 
 
-def u1_u3_functions(spark: SparkSession, d: str) -> DataFrame:
+def u1_scalar_function(spark: SparkSession, d: str) -> DataFrame:
     """A vectorized scalar function registered for SQL."""
     engine = Engine(spark)
     engine.register_parquet("nation", f"{d}/nation.parquet")
@@ -459,6 +596,34 @@ def u1_u3_functions(spark: SparkSession, d: str) -> DataFrame:
     return engine.sql("select n_nationkey, doubled(n_regionkey) as twice from nation")
 
 
+def u3_overloads(spark: SparkSession, d: str) -> DataFrame:
+    """One name with four signatures; each call takes the one with the fewest implicit casts."""
+    engine = Engine(spark)
+    for t in ("nation", "customer"):
+        engine.register_parquet(t, f"{d}/{t}.parquet")
+
+    def named(text: str):
+        def f(*columns: pd.Series) -> pd.Series:
+            return text + columns[0].astype(str).str.len().gt(0).map({True: "", False: "?"})
+
+        return F.pandas_udf(f, "string")
+
+    for kinds in (["int", "int"], ["bigint", "bigint"], ["double", "double"], ["varchar"]):
+        engine.register_udf("kind", named(" ".join(kinds)), arguments=kinds)
+    return engine.sql(
+        "select c_custkey, kind(n_nationkey, n_regionkey) as a, kind(c_custkey, c_custkey) as b, kind(c_acctbal, n_nationkey) as c, kind(kind(n_name)) as d "
+        "from customer join nation on c_nationkey = n_nationkey"
+    )
+
+
+def a11_user_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate of one's own in a grouped query."""
+    engine = Engine(spark)
+    engine.register_parquet("customer", f"{d}/customer.parquet")
+    engine.register_udaf("spread", lambda x: float(x.max() - x.min()), "double")
+    return engine.sql("select c_nationkey, spread(c_custkey) as s, spread(c_acctbal * 0 + 1) as z from customer group by c_nationkey")
+
+
 def u2_table_function(spark: SparkSession, d: str) -> DataFrame:
     """A table function registered for SQL."""
 
@@ -476,8 +641,9 @@ def u2_table_function(spark: SparkSession, d: str) -> DataFrame:
 _FUNCTIONS = [
     k1_k2_put_delete, k1_k2_put_delete_all, k3_write_batch, k4_get_latest, k5_snapshot_get, k5_snapshot_half, k7_scan, k8_reverse_scan, k8_reverse_scan_whole, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
     k12_comparator, k14_compaction, k14_compaction_half, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table, s5_append_table_whole,
-    s6_seq_table_scan, s7_read_csv, s8_replacement_scan, s18_create_table_as, s19_insert_columns, s20_copy_from, s13_s15_catalog, s14_s16_describe, s21_explain,
-    f9_interval_units, f10_typed_constants, u1_u3_functions, u2_table_function,
+    s6_seq_table_scan, s7_read_csv, s8_replacement_scan, s18_create_table_as, s19_insert_columns, s20_copy_from, s13_query_tables, s14_s16_describe, s15_show_tables, s21_explain,
+    s22_explain_text, s23_result_text, sel_p7_errors, o1_default_desc, o1_default_asc, k6_snapshots, k13_k15_levels, k19_k22_recovery, s4_kv_table,
+    f9_interval_units, f10_typed_constants, u1_scalar_function, u2_table_function, u3_overloads, a11_user_aggregate,
 ]
 
 
@@ -503,6 +669,10 @@ _HALF = "(select max(event_id) // 2 from events)"
 _EVENTS = "(select user_id as k, event_id as seq, case when event_type = 'error' then 0 else 1 end as vt, value as v from events)"
 
 
+_NUMBERED = """(select user_id as k, event_id as n, row_number() over (order by event_id) as seq,
+    case when event_type = 'error' then 0 else 1 end as vt, value as v from events)"""
+
+
 def _newest(log: str, where: str = "true") -> str:
     return (
         "select k, seq, v from (select *, row_number() over (partition by k order by seq desc) as rn "
@@ -563,14 +733,43 @@ def oracle_sql() -> dict[str, str]:
         "s18_create_table_as": "select o_orderkey, o_totalprice from orders where o_totalprice > 300000",
         "s19_insert_columns": "select o_custkey as a, cast(null as varchar) as b, cast(o_orderdate as date) as c from orders",
         "s20_copy_from": nation,
-        "s13_s15_catalog": "select 'made' as table_name union all select 'region'",
+        "s13_query_tables": (
+            "select * from (values ('main', cast(1 as int), 'region', cast(2 as int)), ('main', 1, 'nation', 3), ('main', 1, 'made', 4)) "
+            "t(schema_name, schema_oid, table_name, table_oid)"
+        ),
+        "s15_show_tables": "select * from (values ('main', 'region'), ('main', 'nation'), ('main', 'made')) t(schema_name, table_name)",
         "s14_s16_describe": "select 'made' as table_name, '[a, b, c]' as column_names, '[Integer, USmallint, Varchar]' as column_types",
-        "s21_explain": "select unnest(['logical_plan', 'logical_plan_opt', 'physical_plan']) as type",
+        "s21_explain": (
+            "select * from (values ('logical_plan', true, false, false, false), ('logical_plan_opt', false, true, false, false), "
+            "('physical_plan', false, true, true, true)) t(type, has_alias, constant_folded, filter_in_scan, columns_pruned)"
+        ),
+        "s22_explain_text": "select * from (values ('original', true), ('optimized', true)) t(plan, complete)",
+        "s23_result_text": (
+            "select n_nationkey || ' ' || coalesce(cast(nullif(n_regionkey, 0) as varchar), 'NULL') || ' (empty) ' || "
+            "case when n_regionkey > 2 then 'true' else 'false' end as line from nation"
+        ),
+        "sel_p7_errors": """
+          select * from (values ('select nothing from nation', true), ('select n_name from nowhere', true),
+            ('select n_nationkey from nation a join nation b on a.n_name = b.n_name', true), ('select n_name from nation where n_name > 5', true),
+            ('select n_name, count(*) from nation', true), ('selec 1', true), ('select * from (select 1 as a)', true),
+            ('insert into nation values (1)', true), ('select n_name from nation', false)) t(statement, refused)""",
+        "o1_default_desc": """
+          select o_orderkey, nullif(o_custkey % 5, 0) as g,
+            row_number() over (order by nullif(o_custkey % 5, 0) desc nulls first, o_orderkey) - 1 as seq from orders""",
+        "o1_default_asc": """
+          select o_orderkey, nullif(o_custkey % 5, 0) as g,
+            row_number() over (order by nullif(o_custkey % 5, 0) nulls first, o_orderkey desc) - 1 as seq from orders""",
+        "k6_snapshots": _newest(_NUMBERED, "n <= (select max(event_id) // 2 from events)"),
+        "k13_k15_levels": f"select *, true as runs_are_few from ({_newest(_NUMBERED)})",
+        "k19_k22_recovery": f"select k, v, true as refused from (select k, v from ({_newest(_NUMBERED)}) union all select -2, 1.5)",
+        "s4_kv_table": f"select c.c_custkey, l.v as value from customer c join ({_newest(_NUMBERED)}) l on c.c_custkey = l.k",
         "f9_interval_units": """
           select o_orderkey, cast(o_day + interval '36' hour as date) as h, cast(o_day - interval '1' minute as date) as m,
             cast(o_day + interval '14' day as date) as w
           from (select o_orderkey, cast(o_orderdate as date) as o_day from orders)""",
         "f10_typed_constants": "select n_nationkey, 12 as i, cast(null as date) as bad, date '2020-02-29' as good from nation",
-        "u1_u3_functions": "select n_nationkey, cast(n_regionkey * 2 as bigint) as twice from nation",
+        "u1_scalar_function": "select n_nationkey, cast(n_regionkey * 2 as bigint) as twice from nation",
+        "u3_overloads": "select c_custkey, 'int int' as a, 'bigint bigint' as b, 'double double' as c, 'varchar' as d from customer",
+        "a11_user_aggregate": "select c_nationkey, cast(max(c_custkey) - min(c_custkey) as double) as s, cast(0 as double) as z from customer group by c_nationkey",
         "u2_table_function": "select cast(i as int) as n, cast(i * i as int) as square from range(10) t(i)",
     }
