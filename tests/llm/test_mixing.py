@@ -101,3 +101,12 @@ def test_nothing_to_draw(spark, which):
         df = df.where("text = '' or text is null")
     drawn = mix_sources(df, targets)
     assert drawn.count() == 0 and all(r["tokens"] == 0 for r in reached_shares(drawn, targets).collect())
+
+
+def test_shards_follow_the_size_of_a_source():
+    from tidemark.llm import mixing
+
+    assert mixing.shards_per_source({}) == {}
+    assert mixing.shards_per_source({"a": 1, "b": 100 * mixing.SHARD_DOCS}) == {"a": 1, "b": 100}
+    many = mixing.shards_per_source({f"s{i}": 10**9 if i else 10**13 for i in range(10_000)})
+    assert sum(many.values()) <= mixing.MAX_SUMS + 10_000 and many["s0"] > 10_000 * many["s1"] * 0.5

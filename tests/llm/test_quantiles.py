@@ -30,27 +30,28 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("shape", SHAPES)
 @pytest.mark.parametrize("parts", [1, 50])
-def test_error_stays_within_what_is_stated(shape, parts):
+def test_error_stays_within_what_is_stated(parts):
+    """Of all answers, over all shapes, at most 0.3 % may miss the stated error, as stated; the sizes stay bounded."""
     r = np.random.default_rng(7)
     over = total = 0
-    for trial in range(4):
-        values = SHAPES[shape](200_000, r).astype(np.int64)
-        whole = QuantileSketch(trial)
-        for i, part in enumerate(np.array_split(values, parts)):
-            s = QuantileSketch(1000 * trial + i)
-            for chunk in np.array_split(part, max(1, len(part) // 3000)):
-                s.update(chunk)
-            whole.merge(QuantileSketch.from_bytes(s.to_bytes(), 5))
-        assert whole.n == len(values)
-        for t in (whole.low, whole.high):
-            assert sum(len(x) << h for h, x in enumerate(t.levels)) == len(values)
-        assert len(whole.to_bytes()) < 300_000
-        errors = relative_errors(whole, values)
-        over += sum(e > RELATIVE_ERROR for e in errors)
-        total += len(errors)
-    assert over <= 0.05 * total
+    for shape in SHAPES:
+        for trial in range(6):
+            values = SHAPES[shape](200_000, r).astype(np.int64)
+            whole = QuantileSketch(trial)
+            for i, part in enumerate(np.array_split(values, parts)):
+                s = QuantileSketch(1000 * trial + i)
+                for chunk in np.array_split(part, max(1, len(part) // 3000)):
+                    s.update(chunk)
+                whole.merge(QuantileSketch.from_bytes(s.to_bytes(), 5))
+            assert whole.n == len(values)
+            for t in (whole.low, whole.high):
+                assert sum(len(x) << h for h, x in enumerate(t.levels)) == len(values)
+            assert len(whole.to_bytes()) < 120_000
+            errors = relative_errors(whole, values)
+            over += sum(e > RELATIVE_ERROR for e in errors)
+            total += len(errors)
+    assert total == 300 and over <= 0.003 * total
 
 
 def test_few_values_are_exact():
@@ -103,7 +104,24 @@ def test_partial_results_are_handed_on_before_they_grow_large(spark, rows, monke
 
     from tidemark.llm import quantiles
 
-    monkeypatch.setattr(quantiles, "FLUSH_VALUES", 100)
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c", ""] * 50), pa.array(range(200), pa.int64())], ["g", "x"])
-    parts = list(quantiles._partial([batch, batch]))
-    assert sum(b.num_rows for b in parts) == 8
+    assert sum(b.num_rows for b in quantiles._partial([batch, batch])) == 4
+    monkeypatch.setattr(quantiles, "HELD_BYTES", 100)
+    assert sum(b.num_rows for b in quantiles._partial([batch, batch])) == 8
+
+
+def test_batches_handed_on_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import quantiles
+
+    monkeypatch.setattr(quantiles, "BATCH_BYTES", 5_000)
+    sketches = []
+    for i in range(20):
+        sketches.append((f"g{i}", QuantileSketch(i)))
+        sketches[-1][1].update(np.arange(200))
+        assert abs(sketches[-1][1].nbytes - 1600) < 1000
+    parts = list(quantiles._batches(sketches))
+    assert sum(b.num_rows for b in parts) == 20 and max(b.nbytes for b in parts) < 5_000 + 2_000
+    again = pa.Table.from_batches(list(quantiles._merge(parts)))
+    assert again.num_rows == 20

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,21 +30,21 @@ def character_classes(text: str) -> Counter:
     """Numbers of upper- and lower-case letters, other letters, digits, white space and other characters."""
     out: Counter = Counter()
     for ch, n in Counter(text).items():
-        if ch.isupper():
-            out["upper"] += n
-        elif ch.islower():
-            out["lower"] += n
-        elif ch.isalpha():
-            out["letter"] += n
-        elif ch.isnumeric():
-            out["digit"] += n
-        elif ch.isspace():
-            out["space"] += n
-        else:
-            out["other"] += n
+        out[_class(ch)] += n
     return out
 
 
+@cache
+def _class(ch: str) -> str:
+    """Class of a character by its Unicode category."""
+    kind = unicodedata.category(ch)
+    if kind in ("Lu", "Ll"):
+        return "upper" if kind == "Lu" else "lower"
+    if kind[0] in "LN":
+        return "letter" if kind[0] == "L" else "digit"
+    return "space" if kind[0] == "Z" or ch in "\t\n\v\f\r" else "other"
+
+
 def jensen_shannon(p: dict, q: dict) -> float:
     """Distance (0 to 1, the square root of the divergence in bits) of two tables of counts."""
     a, b = sum(p.values()), sum(q.values())

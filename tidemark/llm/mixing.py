@@ -13,7 +13,7 @@ from tidemark.scratch import col, materialize
 
 #: Tokens of a block, the unit that is allotted.
 BLOCK_TOKENS = 512
-#: Documents a shard has on average, and how many sums of (source, shard) the driver may get.
+#: Documents a shard has at least, and how many sums of (source, shard) the driver gets, at most one a source more.
 SHARD_DOCS, MAX_SUMS = 20_000, 200_000
 #: More listed sources than this are refused, as the plan is made on the driver.
 MAX_SOURCES = 10_000
@@ -95,6 +95,15 @@ def plan_quotas(
     return out
 
 
+def shards_per_source(documents: dict[str, int]) -> dict[str, int]:
+    """Shards for each source, in proportion to its documents, so that no task orders many more of them than another.
+
+    A shard has about SHARD_DOCS documents, or more where that would make more than MAX_SUMS shards.
+    """
+    each = max(SHARD_DOCS, -(-sum(documents.values()) // MAX_SUMS))
+    return {s: max(1, round(n / each)) for s, n in documents.items()}
+
+
 def mix_sources(
     docs: DataFrame,
     targets: DataFrame,
@@ -112,9 +121,10 @@ def mix_sources(
     Output: ``doc_id``, ``source``, ``n_tokens``, ``copies`` (how often the
     document is used, at least 1 and at most the source's ``max_repeats``).
 
-    Tokens are counted once, over all texts.  Documents are hashed into shards;
+    Tokens are counted once, over all texts.  The documents of a source are hashed
+    into shards of like size;
     the tokens of every (source, shard) are summed in parallel and only these
-    sums, at most 200,000, reach the driver, where blocks of ``block_tokens`` are allotted by
+    sums, about 200,000 at most, reach the driver, where blocks of ``block_tokens`` are allotted by
     Sainte-Lague, first to the sources, then to the shards of each.  Within a
     shard documents are put in a seeded random order and blocks are taken from
     the front, after as many whole passes as the quota holds.  A document is
@@ -134,13 +144,14 @@ def mix_sources(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     wanted = {r["s"]: (r["share"], r["repeats"]) for r in rows}
     spark = docs.sparkSession
-    shards = max(1, min(MAX_SUMS // max(1, len(wanted)), docs.count() // SHARD_DOCS))
     of = docs.select(col(ident).alias("doc_id"), col(source).alias("source"), col(text).alias("txt"))
-    of = of.where(F.col("source").isin(list(wanted)))
+    shards = shards_per_source({r["source"]: r["count"] for r in of.groupBy("source").count().where(F.col("source").isin(list(wanted))).collect()})
+    # one row per listed source; those without documents fall away
+    cut = spark.createDataFrame(list(shards.items()), "cs string, shards int")
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    counted = with_tokens(of, "doc_id", "txt", ["source"], tokenizer=tokenizer)
-    counted = counted.where(F.col("n_tokens") > 0).withColumn("shard", F.pmod(mixed, F.lit(shards)).cast("int"))
-    counted = materialize(counted, "tokens")
+    of = of.join(F.broadcast(cut), F.col("source") == F.col("cs")).withColumn("shard", F.pmod(mixed, F.col("shards")).cast("int"))
+    counted = with_tokens(of, "doc_id", "txt", ["source", "shard"], tokenizer=tokenizer)
+    counted = materialize(counted.where(F.col("n_tokens") > 0), "tokens")
     supply = {
         (r["source"], r["shard"]): r["n"]
         for r in counted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect()

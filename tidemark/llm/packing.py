@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import DEFAULT_TOKENIZER, token_counter
+from tidemark.llm.tokens import DEFAULT_TOKENIZER, local_vocabulary, ship_vocabulary, token_counter
 from tidemark.scratch import col
 
 #: Number of harmonic classes; shorter texts than capacity / CLASSES share one class.
@@ -120,12 +120,13 @@ def pack_texts(
     if any(c < 1 for c in capacities.values()):
         raise ValueError("a capacity must be at least 1")
     wanted = dict(capacities)
+    ship_vocabulary(df.sparkSession, tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        count = token_counter(tokenizer)
+        count = token_counter(local_vocabulary(tokenizer))
         packers = {name: HarmonicPacker(c, classes) for name, c in wanted.items()}
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()

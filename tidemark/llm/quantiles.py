@@ -17,8 +17,10 @@ K = 48
 #: Stated error: the rank of an answer is off by at most this share of
 #: min(rank, n - rank), or by one, with a probability of 99.7 % (three standard deviations).
 RELATIVE_ERROR = 0.01
-#: Values a task holds before it hands on what it has.
-FLUSH_VALUES = 4_000_000
+#: Bytes of sketches a task holds before it hands on what it has, and bytes of a batch that it hands on.
+HELD_BYTES, BATCH_BYTES = 256 << 20, 32 << 20
+#: What an empty sketch takes in memory, roughly.
+_OVERHEAD = 512
 
 
 class Tail:
@@ -134,6 +136,13 @@ class QuantileSketch:
             out.append(int(v[min(np.searchsorted(cum, rank), len(v) - 1)]))
         return out
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the values held."""
+        if self.raw is not None:
+            return _OVERHEAD + self.raw.nbytes
+        return _OVERHEAD + sum(x.nbytes + 100 for t in (self.low, self.high) for x in t.levels)
+
     def to_bytes(self) -> bytes:
         if self.raw is not None:
             return np.concatenate([np.array([self.n, 0], np.int64), self.raw]).tobytes()
@@ -167,27 +176,34 @@ def _seed(key: object, salt: int) -> int:
     return zlib.crc32(repr((key, salt)).encode())
 
 
+def _batches(sketches: Iterable[tuple[str, QuantileSketch]]) -> Iterator[pa.RecordBatch]:
+    """Serialized sketches in batches of bounded size."""
+    names: list[str] = []
+    data: list[bytes] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["g", "sketch"])
+
+    for g, sketch in sketches:
+        names.append(g)
+        data.append(sketch.to_bytes())
+        size += len(data[-1]) + len(g)
+        if size >= BATCH_BYTES or len(names) >= 10_000:
+            yield batch()
+            names, data, size = [], [], 0
+    if names:
+        yield batch()
+
+
 def _partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sketch the values of each group in a task; hands on what it has when that grows large."""
     from pyspark import TaskContext
 
     ctx = TaskContext.get()
     salt = ctx.partitionId() if ctx else 0
-    waiting: dict = {}
+    waiting: dict[str, QuantileSketch] = {}
     held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        keys, data = [], []
-        for key, s in waiting.items():
-            keys.append(key)
-            data.append(s.to_bytes())
-            if len(keys) == 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], ["g", "sketch"])
-                keys, data = [], []
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], ["g", "sketch"])
-        waiting.clear()
-
     for b in batches:
         g = b.column("g").dictionary_encode()
         codes = g.indices.to_numpy(zero_copy_only=False)
@@ -202,35 +218,35 @@ def _partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = waiting.get(key)
                 if s is None:
                     s = waiting[key] = QuantileSketch(_seed(key, salt))
+                else:
+                    held -= s.nbytes
                 s.update(values[a:z])
-        held += len(codes)
-        if held > FLUSH_VALUES and len(waiting) * 64 > FLUSH_VALUES:
-            yield from flush()
+                held += s.nbytes
+        if held > HELD_BYTES:
+            yield from _batches(waiting.items())
+            waiting.clear()
             held = 0
-    yield from flush()
+    yield from _batches(waiting.items())
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge sketches that come sorted by group."""
-    key, current = None, None
-    names, data = [], []
-    for b in batches:
-        for g, s in zip(b.column("g").to_pylist(), b.column("sketch").to_pylist()):
-            if current is not None and g == key:
-                current.merge(QuantileSketch.from_bytes(s))
-                continue
-            if current is not None:
-                names.append(key)
-                data.append(current.to_bytes())
-            key, current = g, QuantileSketch.from_bytes(s, _seed(g, -1))
-            if len(names) == 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["g", "sketch"])
-                names, data = [], []
-    if current is not None:
-        names.append(key)
-        data.append(current.to_bytes())
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["g", "sketch"])
+
+    def merged() -> Iterator[tuple[str, QuantileSketch]]:
+        key, current = None, None
+        for b in batches:
+            for g, s in zip(b.column("g"), b.column("sketch")):  # one at a time, as a batch may hold many large ones
+                g, s = g.as_py(), s.as_py()
+                if current is not None and g == key:
+                    current.merge(QuantileSketch.from_bytes(s))
+                    continue
+                if current is not None:
+                    yield key, current
+                key, current = g, QuantileSketch.from_bytes(s, _seed(g, -1))
+        if current is not None:
+            yield key, current
+
+    yield from _batches(merged())
 
 
 _SKETCH = "g string, sketch binary"

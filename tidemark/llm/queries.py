@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.divergence import divergence
 from tidemark.llm.ledger import KeyLedger
-from tidemark.llm.mixing import mix_sources, reached_shares
+from tidemark.llm.mixing import BLOCK_TOKENS, mix_sources, reached_shares
 from tidemark.llm.packing import pack_texts, read_capacities
 from tidemark.llm.quantiles import RELATIVE_ERROR, merge_sketches, read_quantiles, sketch_groups
 from tidemark.llm.repetition import repetition
+from tidemark.llm.tokens import with_tokens
 from tidemark.llm.topn import top_n
 from tidemark.operators.skew import MIN_HEAVY_ROWS, heavy_keys
 from tidemark.operators.upsert import spans
-from tidemark.scratch import materialize
+from tidemark.scratch import materialize, scratch_path
 
 #: Batches, in order of arrival, in which the key ledger sees the two tables.
 LEDGER_BATCHES = 4
@@ -47,6 +48,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _key_answers(spark, d).where("seen").select("source_table", "record_id")
 
 
+def p1_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """p1_found with a ledger that is closed and merged after two batches, opened again, and gets the second batch twice."""
+    rows = _key_rows(spark, d)
+    _, tests = spans(rows, "arrived_at", LEDGER_BATCHES)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    path, carry = scratch_path(spark, "reopened"), ["source_table", "record_id"]
+    out = []
+
+    def answer(ledger: KeyLedger, run: int) -> DataFrame:
+        found = ledger.observe(rows.where(tests[run]), "key", "arrived_at", writes=F.col("writes"), carry=carry, run=run)
+        return materialize(found.where("seen").drop("seen"), "answers")
+
+    ledger = KeyLedger(spark, types["key"], types["arrived_at"], path=path)
+    half = len(tests) // 2
+    out += [answer(ledger, run) for run in range(half)]
+    ledger.compact()
+    ledger.close()
+    ledger = KeyLedger(spark, types["key"], types["arrived_at"], path=path)
+    out[half - 1 :] = [answer(ledger, run) for run in range(max(0, half - 1), len(tests))]
+    ledger.compact(fan_in=2)
+    return reduce(DataFrame.unionByName, out)
+
+
 def p1_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """Per table: answers, how many said "seen", and how many are wrong by an independent count."""
     rows = _key_rows(spark, d)
@@ -111,32 +135,54 @@ def p6_monthly(spark: SparkSession, d: str) -> DataFrame:
     return _fields(found, "month", "field_name", "field_key")
 
 
+def _rank_errors(spark: SparkSession, d: str, estimates: DataFrame, monthly: bool) -> DataFrame:
+    """Per group and percentile: n, the answer's rank error in rows, and the distance of its rank from the nearer end."""
+    by = ["month", "field_name", "field_key"][0 if monthly else 1 :]
+    listed = [F.struct(F.lit(k).alias("q"), F.lit(v).alias("share"), F.col(k).alias("answer")) for k, v in QUANTILES.items()]
+    long = materialize(estimates, "percentiles").select(*[F.col(c).alias(f"e_{c}") for c in by], "n", F.explode(F.array(*listed)).alias("e"))
+    long = long.select(*[f"e_{c}" for c in by], "n", "e.*")
+    emp = spark.read.parquet(f"{d}/employee.parquet").where(F.col("salary").isNotNull())
+    pairs = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("field_key")) for c in ("department_id", "job_title")])
+    month = F.coalesce(F.date_format("loaded_at", "yyyy-MM"), F.lit("")).alias("month")
+    values = emp.select("salary", month, F.explode(pairs).alias("p")).select("month", "p.*", "salary").groupBy(*by, "salary").agg(F.count("*").alias("c"))
+    on = F.lit(True)
+    for c in by:
+        on = on & (F.col(c) == F.col(f"e_{c}"))
+    both = values.join(long, on)
+    ranks = both.groupBy(*by, "n", "q", "share").agg(
+        F.sum(F.when(F.col("salary") < F.col("answer"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("salary") <= F.col("answer"), F.col("c")).otherwise(0)).alias("upto")
+    )
+    rank = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n") - F.lit(1e-9)))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - rank, rank - F.col("upto")).alias("off")
+    return ranks.select(*by, "n", F.col("q").alias("percentile"), off, F.greatest(F.lit(1), F.least(rank, F.col("n") - rank)).alias("near"))
+
+
 def p6_error(spark: SparkSession, d: str) -> DataFrame:
     """Largest rank error of any group, per field and percentile, measured against all rows.
 
     ``rank_error`` is in rows, ``relative_error`` divides it by the distance of
     the rank from the nearer end.
     """
-    est = materialize(p6_percentiles(spark, d), "percentiles")
-    long = est.select(
-        F.col("field_name").alias("fn"), F.col("field_key").alias("fk"), "n",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("q"), F.lit(v).alias("share"), F.col(k).alias("answer")) for k, v in QUANTILES.items()])).alias("e"),
-    ).select("fn", "fk", "n", "e.*")
-    emp = spark.read.parquet(f"{d}/employee.parquet").where(F.col("salary").isNotNull())
-    pairs = F.array(F.struct(F.lit("department_id").alias("fn2"), F.col("department_id").cast("string").alias("fk2")), F.struct(F.lit("job_title").alias("fn2"), F.col("job_title").alias("fk2")))
-    values = emp.select("salary", F.explode(pairs).alias("p")).select("p.*", "salary").groupBy("fn2", "fk2", "salary").agg(F.count("*").alias("c"))
-    both = values.join(long, (F.col("fn") == F.col("fn2")) & (F.col("fk") == F.col("fk2")))
-    ranks = both.groupBy("fn", "fk", "n", "q", "share").agg(
-        F.sum(F.when(F.col("salary") < F.col("answer"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("salary") <= F.col("answer"), F.col("c")).otherwise(0)).alias("upto")
-    )
-    rank = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n") - F.lit(1e-9)))
-    off = F.greatest(F.lit(0), F.col("below") + 1 - rank, rank - F.col("upto"))
-    near = F.greatest(F.lit(1), F.least(rank, F.col("n") - rank))
-    return ranks.groupBy(F.col("fn").alias("field_name"), F.col("q").alias("percentile")).agg(
-        F.count("*").alias("groups"), F.max(off).alias("rank_error"), F.max(off / near).alias("relative_error")
+    return _rank_errors(spark, d, p6_percentiles(spark, d), False).groupBy("field_name", "percentile").agg(
+        F.count("*").alias("groups"), F.max("off").alias("rank_error"), F.max(F.col("off") / F.col("near")).alias("relative_error")
     )
 
 
+def _within(errors: DataFrame) -> DataFrame:
+    good = (F.col("off") <= 1) | (F.col("off") <= F.lit(RELATIVE_ERROR) * F.col("near"))
+    return errors.select(*[c for c in errors.columns if c not in ("off", "near")], good.alias("within_stated_error"))
+
+
+def p6_within(spark: SparkSession, d: str) -> DataFrame:
+    """For every group and percentile whether the answer's rank is within the stated error of the exact one."""
+    return _within(_rank_errors(spark, d, p6_percentiles(spark, d), False))
+
+
+def p6_monthly_within(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the answers per month."""
+    return _within(_rank_errors(spark, d, p6_monthly(spark, d), True))
+
+
 def _packs(spark: SparkSession, d: str, only: str | None = None) -> tuple[DataFrame, dict[str, int]]:
     sizes = read_capacities(spark, f"{d}/pack_capacity.parquet")
     if only is not None:
@@ -171,6 +217,34 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: documents packed, packs over capacity, documents with tokens lost or doubled, documents divided without need.
+
+    Tokens are counted a second time, apart from the packing.
+    """
+    rows, sizes = _packs(spark, d)
+    rows = materialize(rows, "packs")
+    capacity = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
+    over = rows.groupBy("pack_name", "pack_id").agg(F.sum("n_tokens").alias("used")).where(F.col("used") > capacity[F.col("pack_name")])
+    over = over.groupBy(F.col("pack_name").alias("on")).agg(F.count("*").alias("overfull"))
+    # pieces follow one another if their starts sum up as their lengths say
+    per = rows.groupBy("pack_name", "doc_id").agg(
+        F.sum("n_tokens").alias("packed"), F.count("*").alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count_distinct("piece_no").alias("numbers")
+    )
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    truth = with_tokens(docs, "doc_id", "text").where("n_tokens > 0").select(F.col("doc_id").alias("id"), F.col("n_tokens").alias("tokens"))
+    truth = truth.withColumn("name", F.explode(F.array(*[F.lit(n) for n in sizes])))
+    both = truth.join(per, (F.col("id") == F.col("doc_id")) & (F.col("name") == F.col("pack_name")), "full")
+    right = F.coalesce((F.col("packed") == F.col("tokens")) & (F.col("end") == F.col("tokens")) & (F.col("pieces") == F.col("numbers")), F.lit(False))
+    needless = F.coalesce((F.col("pieces") > 1) & (F.col("tokens") <= capacity[F.col("name")]), F.lit(False))
+    found = both.groupBy(F.coalesce("name", "pack_name").alias("pack_name")).agg(
+        F.count("*").alias("documents"), F.sum((~right).cast("bigint")).alias("wrong_tokens"), F.sum(needless.cast("bigint")).alias("needlessly_divided")
+    )
+    # one row a capacity on either side
+    out = found.join(over, F.col("pack_name") == F.col("on"), "left")
+    return out.select("pack_name", "documents", F.coalesce("overfull", F.lit(0)).cast("bigint").alias("overfull"), "wrong_tokens", "needlessly_divided")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents drawn, with how often each is used."""
     return mix_sources(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_target.parquet"))
@@ -181,6 +255,32 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(p9_mix(spark, d), spark.read.parquet(f"{d}/mix_target.parquet"))
 
 
+#: How far a source's reached share may be from its target.
+SHARE_TOLERANCE = 0.01
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source: whether its share was reached, and no document is used too often, twice, or belongs elsewhere.
+
+    The target is that of the sources that have documents, 0 for the others.  Off
+    by SHARE_TOLERANCE, and what one block and one document make up, it counts as reached.
+    """
+    docs, targets = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "mix_target"))
+    drawn = materialize(p9_mix(spark, d), "drawn")
+    there = docs.where(F.col("text") != "").select(F.col("source").alias("ts")).distinct()
+    shares = reached_shares(drawn, targets).join(there, F.col("source") == F.col("ts"), "left")
+    share = F.when(F.col("ts").isNotNull(), F.col("target_share")).otherwise(F.lit(0.0))
+    whole = F.sum(share).over(Window.partitionBy())  # a row per listed source
+    largest = drawn.agg(F.coalesce(F.max("n_tokens"), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")), F.lit(1)).alias("all_tokens"))
+    alien = drawn.join(docs.select(F.col("doc_id").alias("di"), F.col("source").alias("so")), (F.col("doc_id") == F.col("di")) & (F.col("source") == F.col("so")), "left_anti")
+    twice = drawn.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bad = alien.select("doc_id").unionByName(twice).agg(F.count("*").alias("bad"))
+    off = F.abs(F.col("reached_share") - share / whole)
+    out = shares.withColumn("off", off).join(F.broadcast(largest)).join(F.broadcast(bad))  # single rows
+    room = F.lit(SHARE_TOLERANCE) + (F.col("longest") + BLOCK_TOKENS) / F.col("all_tokens")
+    return out.select("source", (F.col("off") <= room).alias("share_reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("bad") == 0).alias("rows_valid"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which 30 % or more repeat earlier words."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -197,23 +297,29 @@ def p10_divergence(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     # spellings of a tag such as EN, en-US and en_GB name one language
     language = F.lower(F.regexp_extract(F.trim("lang"), "^[A-Za-z]+", 0))
-    return divergence(docs, "doc_id", "text", language)
+    found = divergence(docs, "doc_id", "text", language)
+    return found.select("doc_id", "n_words", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_reopened": p1_reopened,
         "p1_error_rate": p1_error_rate,
         "p5_found": p5_found,
         "p5_ranked": p5_ranked,
         "p6_percentiles": p6_percentiles,
         "p6_monthly": p6_monthly,
         "p6_error": p6_error,
+        "p6_within": p6_within,
+        "p6_monthly_within": p6_monthly_within,
         "p8_found": p8_found,
         "p8_packs": p8_packs,
         "p8_fill": p8_fill,
+        "p8_checks": p8_checks,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
+        "p9_checks": p9_checks,
         "p10_found": p10_found,
         "p10_shares": p10_shares,
         "p10_divergence": p10_divergence,
@@ -238,17 +344,68 @@ _BEST = """
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"select source_table, record_id from ({_ANSWERS}) where seen",
+        "p1_reopened": f"select source_table, record_id from ({_ANSWERS}) where seen",
         "p1_error_rate": f"""
           select source_table, count(*) as answers, cast(sum(cast(seen as int)) as bigint) as seen,
             cast(0 as bigint) as wrong, cast(0 as double) as error_rate
           from ({_ANSWERS}) group by source_table""",
         "p5_found": f"select department_id, id from ({_BEST}) where rank <= 5",
         "p5_ranked": f"select department_id, id, salary, rank from ({_BEST}) where rank <= 100",
+        "p6_within": _GROUPS.format("'' as month", "", "field_name, field_key"),
+        "p6_monthly_within": _GROUPS.format("coalesce(strftime(loaded_at, '%Y-%m'), '') as month", "month, ", "month, field_name, field_key"),
+        "p8_found": r"""
+          select doc_id from documents where len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) > (select capacity from pack_capacity where pack_name = 'long')""",
+        "p8_checks": """
+          select pack_name, (select count(*) from documents where text <> '') as documents, cast(0 as bigint) as overfull,
+            cast(0 as bigint) as wrong_tokens, cast(0 as bigint) as needlessly_divided from pack_capacity""",
+        "p9_checks": """
+          select source, true as share_reached, true as repeats_kept, true as rows_valid
+          from (select distinct source from mix_target)""",
+        "p10_divergence": _DIVERGENCE,
         "p10_found": _REPEATED.format("select doc_id from s where n_repeated * 10 >= n_words * 3 and n_repeated > 0"),
         "p10_shares": _REPEATED.format("select doc_id, n_words, n_repeated, n_repeated / greatest(n_words, 1) as share from s"),
     }
 
 
+#: Groups and percentiles of problem 6; an answer cannot be said in SQL, its error can be bounded.
+_GROUPS = """
+  with f as (
+    select {0}, 'department_id' as field_name, cast(department_id as varchar) as field_key from employee where salary is not null
+    union all select {0}, 'job_title', job_title from employee where salary is not null)
+  select {1}field_name, field_key, count(*) as n, q.percentile, true as within_stated_error
+  from f, (select unnest(['p01', 'p10', 'p50', 'p90', 'p95', 'p99', 'p999']) as percentile) q
+  where field_key is not null group by {2}, q.percentile
+"""
+
+#: Jensen-Shannon distances of each document's classes and words to those of its language, in bits, as square roots.
+_DIVERGENCE = r"""
+  with d as (select doc_id, coalesce(lower(regexp_extract(trim(lang), '^[A-Za-z]+')), '') as lang, coalesce(text, '') as txt from documents),
+  w as (select doc_id, lang, unnest(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+')) as item from d),
+  words as (select doc_id, lang, item, count(*) as n from w group by all),
+  ranked as (select lang, item, sum(n) as n, row_number() over (partition by lang order by sum(n) desc, item) as r from words group by lang, item),
+  chars as (
+    select doc_id, lang, x.item, x.n from d, lateral (select unnest([
+      {'item': 'upper', 'n': len(regexp_extract_all(txt, '\p{Lu}'))}, {'item': 'lower', 'n': len(regexp_extract_all(txt, '\p{Ll}'))},
+      {'item': 'letter', 'n': len(regexp_extract_all(txt, '[\p{Lt}\p{Lm}\p{Lo}]'))}, {'item': 'digit', 'n': len(regexp_extract_all(txt, '\p{N}'))},
+      {'item': 'space', 'n': len(regexp_extract_all(txt, '[\p{Z}\t\n\x0b\f\r]'))},
+      {'item': 'other', 'n': length(txt) - len(regexp_extract_all(txt, '[\p{L}\p{N}\p{Z}\t\n\x0b\f\r]'))}]) as x) t where x.n > 0),
+  mine as (
+    select 'class' as kind, doc_id, lang, item, n from chars
+    union all
+    select 'word', s.doc_id, s.lang, coalesce(r.item, '') as item, sum(s.n)
+    from words s left join ranked r on r.lang = s.lang and r.item = s.item and r.r <= 200 group by all),
+  ref as (select kind, lang, item, sum(n) as n from mine group by all),
+  p as (select *, n / sum(n) over (partition by kind, doc_id) as x from mine),
+  q as (select *, n / sum(n) over (partition by kind, lang) as y from ref),
+  js as (
+    select kind, doc_id, sqrt(greatest(0, (sum(x * log2(2 * x / (x + y)) + y * log2(2 * y / (x + y))) + 1 - sum(y)) / 2)) as distance
+    from p join q using (kind, lang, item) group by kind, doc_id),
+  counted as (select doc_id, len(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+')) as n_words from d)
+  select c.doc_id, c.n_words, case when c.n_words >= 20 then round(k.distance, 6) end as class_distance,
+    case when c.n_words >= 20 then round(j.distance, 6) end as word_distance
+  from counted c left join js k on k.doc_id = c.doc_id and k.kind = 'class' left join js j on j.doc_id = c.doc_id and j.kind = 'word'
+"""
+
 #: Words as runs of letters and digits; a run of five is repeated if an equal one begins earlier.
 _REPEATED = r"""
   with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as words from documents),

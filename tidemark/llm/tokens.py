@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.scratch import col
 
@@ -46,17 +48,30 @@ def token_counter(path: str = DEFAULT_TOKENIZER, pattern: str = PATTERN) -> Call
     raise ValueError(f"unknown kind of tokenizer file: {path}")
 
 
-def safe(text: str) -> str:
-    """Lone surrogates cannot be encoded; each becomes a replacement character."""
-    return text.encode("utf-8", "replace").decode("utf-8")
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file of the driver to the executors, which need not have it at that path; once per application."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _shipped and os.path.isfile(path):
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+
+
+def local_vocabulary(path: str) -> str:
+    """Where a worker finds a vocabulary: the file sent to it, else the path itself."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return sent if os.path.isfile(sent) else path
 
 
 def with_tokens(df: DataFrame, ident: str, text: str, carry: Sequence[str] = (), *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(ident, carry columns, n_tokens); a null or empty text has 0 tokens."""
     fields = [df.schema[c] for c in (ident, *carry)]
+    ship_vocabulary(df.sparkSession, tokenizer)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_counter(tokenizer)
+        tokens = token_counter(local_vocabulary(tokenizer))
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             n = tokens([t or "" for t in texts])
