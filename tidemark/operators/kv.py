@@ -31,10 +31,15 @@ TOMBSTONE, VALUE = 0, 1
 
 
 def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
-    """Newest version per key at or below ``snapshot``, tombstones included."""
+    """Newest version per key at or below ``snapshot``, tombstones included.
+
+    A version is told by key and seq; if copies of one disagree any of their types and values may come out.
+    """
     if snapshot is not None:
         log = log.where(F.col("seq") <= snapshot)
-    return log.groupBy("key").agg(F.max(F.struct("seq", "vtype", "value")).alias("v")).select("key", "v.*")
+    # columns of fixed width keep this a hash aggregate, which a struct would not
+    newest_of = [F.max_by(c, "seq").alias(c) for c in ("vtype", "value")]
+    return log.groupBy("key").agg(F.max("seq").alias("seq"), *newest_of)
 
 
 def visible(log: DataFrame, snapshot: int | None = None) -> DataFrame:
