@@ -261,3 +261,11 @@ def test_reads_over_nothing(spark):
     none = spark.createDataFrame([], "k string, at long, value string")
     assert {tuple(r) for r in kv.read_at(reads, none, ["k"], "at", "value").collect()} == {(1, "a", 0, None, None), (2, "a", 5, None, None)}
     assert kv.read_at(reads.limit(0), none, ["k"], "at", "value").count() == 0
+
+
+def test_concatenation_wants_disjoint_runs(spark):
+    a, b, none = (spark.createDataFrame(r, "key long, seq long") for r in ([(5, 1), (9, 1)], [(1, 1), (4, 2)], []))
+    assert [r["key"] for r in kv.concatenate([a, none, b]).collect()] == [1, 4, 5, 9]
+    assert kv.concatenate([none]).count() == 0
+    with pytest.raises(ValueError):
+        kv.concatenate([a, spark.createDataFrame([(9, 2)], "key long, seq long")])

@@ -23,3 +23,22 @@ def test_kv_sink(spark, tmp_path):
     db = KV(spark)
     run_once(stream, kv_batches(db, ["n"]), f"{tmp_path}/c").awaitTermination()
     assert [(r["key"], r["value"]) for r in db.scan().collect()] == [("b", "y")] and db.last_seq == 3
+
+
+def test_sinks_go_on_after_a_restart_and_take_replays(spark, tmp_path):
+    schema = "key string, vtype int, value string, n long"
+    path, log = f"file://{tmp_path}/store", f"file://{tmp_path}/kv"
+    none = spark.createDataFrame([], schema)
+    one, two = (spark.createDataFrame(r, schema) for r in ([("a", 1, "x", 1)], [("a", 1, "y", 2), ("b", 1, "z", 3)]))
+
+    def sinks():
+        store, db = UpsertStore(spark, none, ["key"], ["n"], path=path, keep="last"), KV(spark, log, break_lock=True)
+        return store, db, [upsert_batches(store, fan_in=2), kv_batches(db, ["n"])]
+
+    for batches in ([(one, 0), (two, 1)], [(two, 1)], [(two, 1), (one, 2)]):  # each a driver's life
+        store, db, writes = sinks()
+        for batch, number in batches:
+            for w in writes:
+                w(batch, number)
+    assert {tuple(r) for r in store.merged().collect()} == {("a", 2, 3), ("b", 3, 1)} and len(store.runs.entries()) <= 2
+    assert {(r["key"], r["value"]) for r in db.scan().collect()} == {("a", "x"), ("b", "z")} and db.last_seq == 4 and db.last_batch == 2

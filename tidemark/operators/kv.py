@@ -15,6 +15,7 @@ import os
 import socket
 import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,19 @@ def merge_runs(runs: Sequence[DataFrame]) -> DataFrame:
     return out.orderBy(F.col("key").asc(), F.col("seq").desc())
 
 
+def concatenate(runs: Sequence[DataFrame]) -> DataFrame:
+    """One sorted log of sorted runs whose key ranges follow one another: no row is moved or compared.
+
+    Only the first and last key of each run are looked at; ranges that overlap are an error.
+    """
+    ends = [r.agg(F.min("key"), F.max("key")).first() for r in runs]
+    placed = sorted(((lo, hi, r) for (lo, hi), r in zip(ends, runs) if lo is not None), key=lambda x: x[0])
+    for (_, hi, _), (lo, _, _) in zip(placed, placed[1:]):
+        if lo <= hi:
+            raise ValueError("the runs overlap")
+    return reduce(DataFrame.union, [r for _, _, r in placed] or list(runs[:1]))
+
+
 def compact(log: DataFrame, oldest_snapshot: int, *, whole: bool = True) -> DataFrame:
     """Drop versions that no reader can see any more.
 
@@ -268,6 +282,7 @@ class KV:
                 raise ValueError(f"the store was made as {held['schema']}")
             self.runs: list[dict] = held.get("runs", [])
             self.last_seq: int = held.get("last_seq", 0)
+            self.last_batch: int = held.get("last_batch", -1)
             self._retired: list[str] = held.get("retired", [])
             if not held:
                 self._commit(self.runs)
@@ -293,7 +308,7 @@ class KV:
 
     def _commit(self, runs: list[dict], retired: Sequence[str] | None = None) -> None:
         retired = self._retired if retired is None else list(retired)
-        state = {"comparator": self.comparator, "schema": self.schema.simpleString(), "runs": runs, "last_seq": self.last_seq, "retired": retired}
+        state = {"comparator": self.comparator, "schema": self.schema.simpleString(), "runs": runs, "last_seq": self.last_seq, "last_batch": self.last_batch, "retired": retired}
         self._manifest.commit(state)
         self.runs, self._retired = runs, retired
 
@@ -358,11 +373,18 @@ class KV:
             self.flush()
         return self.last_seq
 
-    def write_frame(self, batch: DataFrame, order: Sequence[str]) -> int:
-        """Apply a batch of rows (key, vtype, value and the columns of ``order``) in that order."""
+    def write_frame(self, rows: DataFrame, order: Sequence[str], *, batch: int | None = None) -> int:
+        """Apply rows (key, vtype, value and the columns of ``order``) in that order.
+
+        With a ``batch`` number nothing is done if that batch or a later one was applied before.
+        """
+        self._open()
+        if batch is not None and batch <= self.last_batch:
+            return self.last_seq
         self.flush()
-        run = self._run(sequence(batch, order, self.last_seq + 1), 0)
+        run = self._run(sequence(rows, order, self.last_seq + 1), 0)
         self.last_seq = self._read([run]).agg(F.coalesce(F.max("seq"), F.lit(self.last_seq))).first()[0]
+        self.last_batch = self.last_batch if batch is None else batch
         self._commit([*self.runs, run])
         self._keep_up()
         return self.last_seq

@@ -300,6 +300,14 @@ def k10_merge_runs(spark: SparkSession, d: str) -> DataFrame:
     return kv.merge_runs(runs).select(F.col("key").alias("k"), "seq", F.col("vtype").alias("vt"))
 
 
+def k11_concatenation(spark: SparkSession, d: str) -> DataFrame:
+    """Three sorted runs of disjoint key ranges read one after another, with the place of each row."""
+    log = _log(spark, d)
+    third = (log.agg(F.max("key")).first()[0] or 0) // 3 + 1
+    runs = [log.where(F.floor(F.col("key") / third) == i).orderBy("key", F.desc("seq")) for i in (2, 0, 1)]
+    return _positions(kv.concatenate(runs).select(F.col("key").alias("k"), F.col("seq").alias("n")))
+
+
 def k12_comparator(spark: SparkSession, d: str) -> DataFrame:
     """Range scan in the order of another expression of the key."""
     return _kv(kv.scan(_log(spark, d), start=-20, end=-10, order=-F.col("key")))
@@ -598,7 +606,7 @@ def u2_table_function(spark: SparkSession, d: str) -> DataFrame:
 
 _FUNCTIONS = [
     k1_k2_put_delete, k3_write_batch, k4_get_latest, k5_snapshot_get, k7_scan, k8_reverse_scan, k9_range_scan, k9_seek, k9_prefix_scan, k10_merge_runs,
-    k12_comparator, k14_compaction, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table,
+    k11_concatenation, k12_comparator, k14_compaction, k16_approx_size, k17_bloom_filter, k25_request_service, s2_csv_table, s3_memory_table, s5_append_table,
     s6_seq_table_scan, s7_read_csv, s8_replacement_scan, s18_create_table_as, s19_insert_columns, s20_copy_from, s13_query_tables, s14_s16_describe, s15_show_tables, s21_explain,
     s22_explain_text, s23_result_text, sel_p7_errors, o1_default_desc, o1_default_asc, k6_snapshots, k13_k15_levels, k19_k22_recovery, s4_kv_table,
     f9_interval_units, f10_typed_constants, u1_scalar_function, u2_table_function, u3_overloads, a11_user_aggregate,
@@ -657,6 +665,7 @@ def oracle_sql() -> dict[str, str]:
         "k9_seek": _newest(_EVENTS, "k >= 10") + " order by k limit 1",
         "k9_prefix_scan": f"select 'user/' || k as k, seq, v from ({_newest(_EVENTS)}) where 'user/' || k like 'user/1%'",
         "k10_merge_runs": f"select k, seq, vt from {_EVENTS}",
+        "k11_concatenation": f"select k, seq as n, row_number() over (order by k, seq desc) - 1 as seq from {_EVENTS}",
         "k12_comparator": _newest(_EVENTS, "-k >= -20 and -k < -10"),
         "k14_compaction": (
             f"select k, seq, vt from (select *, lag(seq) over (partition by k order by seq desc) as newer from {_EVENTS} l) t "
