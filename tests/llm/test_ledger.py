@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.ledger import KeyLedger
+from tidemark.llm.ledger import KeyLedger, answer_batches
 from tidemark.operators.upsert import slices
 
 T0 = dt.datetime(2024, 1, 1)
@@ -128,3 +128,20 @@ def test_rows_kept_for_answers_are_bounded(spark):
     for i in range(4):
         assert answers(ledger, one(spark, (i, "a", i)), heavy=[]) == {(i, i > 0)}
     assert len(ledger._staged) == 2
+
+
+def test_a_stream_is_answered_across_restarts(spark, tmp_path):
+    path, got = f"file://{tmp_path}/ledger", {}
+
+    def sink(answers, number):
+        got[number] = {tuple(r) for r in answers.collect()}
+
+    batches = [one(spark, (i, "a", i), (10 + i, f"k{i}", i)) for i in range(5)]
+    for numbers in ([0, 1, 2], [2, 3], [3, 4]):
+        ledger = KeyLedger(spark, at_type="bigint", path=path, buckets=2)
+        write = answer_batches(ledger, "key", "at", sink, carry=["id"], fan_in=2)
+        for n in numbers:
+            write(batches[n], n)
+        ledger.close()
+    assert got == {i: {(i, i > 0), (10 + i, False)} for i in range(5)}
+    assert KeyLedger(spark, at_type="bigint", path=path).runs == 5

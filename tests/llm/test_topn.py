@@ -43,7 +43,7 @@ SPREADS = {
 
 
 @pytest.mark.parametrize("spread", SPREADS)
-@pytest.mark.parametrize("n", [1, 5, 60])
+@pytest.mark.parametrize("n", [1, 60])
 def test_against_sorting(spark, spread, n):
     rows = make(1200, 3, SPREADS[spread])
     got = top_n(spark.createDataFrame(rows, SCHEMA), "dep", "pay", "id", n)
@@ -51,8 +51,7 @@ def test_against_sorting(spark, spread, n):
     assert sorted(map(tuple, got.collect())) == sorted(truth(rows, n))
 
 
-@pytest.mark.parametrize("least", [1, 10_000])
-@pytest.mark.parametrize("spread", SPREADS)
+@pytest.mark.parametrize("spread, least", [("wide", 1), ("ties", 1), ("extremes", 1), ("ties", 10_000)])
 def test_many_groups_take_the_way_without_broadcast(spark, monkeypatch, spread, least):
     monkeypatch.setattr(topn, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(topn, "MIN_HEAVY_ROWS", least)

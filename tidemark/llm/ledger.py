@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,3 +187,21 @@ class KeyLedger:
             new.append(fresh.select("h", "k", F.col("t").alias("first_at")))
         self.store.write(new, run)
 
+
+
+def answer_batches(
+    ledger: KeyLedger, key: str, at: str, sink: Callable[[DataFrame, int], None], *, writes: Column | None = None, carry: Sequence[str] = (), fan_in: int | None = 8
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: micro-batch n becomes run n of the ledger and its answers go to ``sink(answers, n)``.
+
+    A batch that is replayed, also after a restart, is answered again and adds
+    nothing; ``sink`` should take a batch number twice.  Runs of like size are
+    merged when there are ``fan_in`` of them (None: never).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(ledger.observe(batch, key, at, writes=writes, carry=carry, run=batch_id), batch_id)
+        if fan_in:
+            ledger.compact(fan_in=fan_in)
+
+    return write
