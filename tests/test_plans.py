@@ -116,3 +116,19 @@ def test_tables_shown_say_when_there_are_more_rows(spark):
     from tidemark.plans.render import table_text
 
     assert "there are more" in table_text(spark.range(5), 4) and "there are more" not in table_text(spark.range(4), 4)
+
+
+def test_typed_lines_are_remembered(monkeypatch, tmp_path):
+    from tidemark.__main__ import typed
+
+    lines = iter(["select 1", ";"])
+
+    def typing(prompt):
+        try:
+            return next(lines)
+        except StopIteration:
+            raise EOFError from None
+
+    monkeypatch.setattr("builtins.input", typing)
+    assert list(typed(tmp_path / "history")) == ["select 1\n", ";\n"]
+    assert (tmp_path / "history").exists()

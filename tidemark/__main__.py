@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 import time
+from collections.abc import Iterator
+from pathlib import Path
 
 from tidemark.plans.engine import Engine
 from tidemark.plans.render import table_text
@@ -50,11 +53,32 @@ def interactive(engine: Engine, lines=sys.stdin, out=sys.stdout) -> None:
             waiting = []
 
 
+def typed(history: Path) -> Iterator[str]:
+    """Lines typed at a prompt; where the terminal allows it with a history that outlasts the session."""
+    try:
+        import readline
+    except ImportError:
+        readline = None
+    if readline:
+        with contextlib.suppress(OSError):
+            readline.read_history_file(history)
+    try:
+        while True:
+            yield input("tidemark> ") + "\n"
+    except EOFError:
+        return
+    finally:
+        if readline:
+            readline.set_history_length(1_000)
+            with contextlib.suppress(OSError):
+                readline.write_history_file(history)
+
+
 def main() -> None:
     args = argparse.ArgumentParser(prog="tidemark")
     args.add_argument("--location", help="folder for created tables")
     with Engine(local_session(), location=args.parse_args().location) as engine:
-        interactive(engine)
+        interactive(engine, typed(Path.home() / ".tidemark_history") if sys.stdin.isatty() else sys.stdin)
 
 
 if __name__ == "__main__":

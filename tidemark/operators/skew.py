@@ -125,7 +125,8 @@ def skew_join(
     if size <= broadcast_rows:
         parts.append(apart.join(F.broadcast(right_hot), on, how))
     else:
-        salt = F.pmod(F.xxhash64(*[col(c) for c in left.columns]), F.lit(salts)).cast("int")
+        # the task's number spreads rows that are alike in everything
+        salt = F.pmod(F.xxhash64(*[col(c) for c in left.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
         spread = apart.withColumn("__salt_l", salt)
         copies = right_hot.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = spread.join(copies, on & (F.col("__salt_l") == F.col("__salt_r")), how)
@@ -206,7 +207,7 @@ def per_key_results(
             value = F.col(f"d{i}")
             salt = F.pmod(F.xxhash64(value), F.lit(salts)).cast("int").alias("salt")
             counted = (
-                rows.where(hot & value.isNotNull())
+                part.where(value.isNotNull())
                 .groupBy("k", salt)
                 .agg(F.count_distinct(value).alias("x"))
                 .groupBy(F.col("k").alias(f"k{i}"))

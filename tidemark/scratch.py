@@ -192,6 +192,9 @@ class Manifest:
 class BucketedRuns:
     """A table kept as runs: each run is hash-bucketed by ``ids`` and sorted by their hash.
 
+    With ``hashed`` the first of ``ids`` is a 64-bit hash and the rows are sorted
+    by it, so that a join or aggregate on ``ids`` sorts what is nearly in order.
+
     On disk it is a parquet table partitioned by part and bucketed by ``ids``,
     so that grouping or joining by ``ids`` needs no shuffle of what is stored.
     A :class:`Manifest` beside the data says which parts make up which runs.  It changes
@@ -218,8 +221,9 @@ class BucketedRuns:
         path: str | None = None,
         buckets: int | None = None,
         meta: Mapping | None = None,
+        hashed: bool = False,
     ) -> None:
-        self.spark, self.ids = spark, list(ids)
+        self.spark, self.ids, self.hashed = spark, list(ids), hashed
         self.path = (path or scratch_path(spark, "runs")).rstrip("/")
         fields = T._parse_datatype_string(schema)
         self.columns = fields.names
@@ -259,8 +263,9 @@ class BucketedRuns:
             rows = rows.where(F.col(self.RUN).isNotNull())
         # no shuffle if the rows already lie in that partitioning
         rows = rows.repartition(self.buckets, *[col(c) for c in self.ids])
-        # one long to sort by: the part, then the upper half of the identifier's hash
-        high = F.shiftrightunsigned(F.xxhash64(*[col(c) for c in self.ids]), 32)
+        # one long to sort by: the part, then the upper half of the hash in its signed order
+        hashed = col(self.ids[0]) if self.hashed else F.xxhash64(*[col(c) for c in self.ids])
+        high = F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(1 << 63))), 32)
         rows = rows.sortWithinPartitions(F.shiftleft(F.col(self.RUN).cast("bigint"), 32).bitwiseOR(high))
         # the writer sorts by part and bucket, which are in order, so that takes one pass; without the partition's
         # number in this expression the optimizer would drop the sort above for the writer's
