@@ -47,7 +47,7 @@ class KeyLedger:
         self, spark: SparkSession, key_type: str = "string", at_type: str = "timestamp_ntz", *, path: str | None = None, buckets: int | None = None
     ) -> None:
         self.spark = spark
-        self.store = BucketedRuns(spark, ["h", "k"], f"`h` BIGINT, `k` {key_type}, `first_at` {at_type}", path=path, buckets=buckets)
+        self.store = BucketedRuns(spark, ["h", "k"], f"`h` BIGINT, `k` {key_type}, `first_at` {at_type}", path=path, buckets=buckets, hashed=True)
         self._staged: list[BucketedRuns] = []
 
     @property
@@ -138,10 +138,12 @@ class KeyLedger:
         )
         k, t = F.col("k"), F.col("t")
         apart = is_heavy(k, heavy) | k.isNull()
-        shaped = shaped.withColumn("h", F.when(apart, F.xxhash64("t", *kept)).otherwise(F.xxhash64(k)))
+        # the task's number spreads rows that are alike in everything
+        spread = F.xxhash64("t", *kept, F.spark_partition_id())
+        shaped = shaped.withColumn("h", F.when(apart, spread).otherwise(F.xxhash64(k)))
         types = {f.name: f.dataType.simpleString() for f in shaped.schema.fields}
         ddl = ", ".join(f"`{c}` {types[c]}" for c in ("h", "k", "t", "w", *kept))
-        staged = BucketedRuns(self.spark, ["h", "k"], ddl, buckets=self.store.buckets)
+        staged = BucketedRuns(self.spark, ["h", "k"], ddl, buckets=self.store.buckets, hashed=True)
         self._staged.append(staged)
         while len(self._staged) > self.KEPT:
             self._staged.pop(0).drop()
@@ -188,7 +190,6 @@ class KeyLedger:
         self.store.write(new, run)
 
 
-
 def answer_batches(
     ledger: KeyLedger, key: str, at: str, sink: Callable[[DataFrame, int], None], *, writes: Column | None = None, carry: Sequence[str] = (), fan_in: int | None = 8
 ) -> Callable[[DataFrame, int], None]:

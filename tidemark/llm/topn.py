@@ -55,7 +55,7 @@ class _Items:
             return
         types = {f.name: f.dataType.simpleString() for f in items.schema.fields}
         ddl = f"h bigint, g {types['g']}, c1 bigint, c2 bigint, s {types['s']}"
-        store = BucketedRuns(self.spark, ["h", "g"], ddl)
+        store = BucketedRuns(self.spark, ["h", "g"], ddl, hashed=True)
         hot = is_heavy(F.col("g"), heavy)
         placed = items.withColumn("h", F.when(hot, F.xxhash64("i")).otherwise(F.xxhash64("g")))
         # by bucket first, so that the removal of repeated items and the writing share one shuffle; repeated items of
