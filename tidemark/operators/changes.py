@@ -60,7 +60,9 @@ def hot_groups(versions: DataFrame, total: int, target_rows: int) -> list:
     They are taken from a sample of about SAMPLE_ROWS rows, so there are at most
     SAMPLE_ROWS / LEAST_SAMPLED of them, about 20,000.
     """
-    fraction = min(1.0, SAMPLE_ROWS / max(total, 1))
+    if total <= target_rows:
+        return []
+    fraction = min(1.0, SAMPLE_ROWS / total)
     s = versions.select("h", "seq")
     if fraction < 1:
         s = s.sample(False, fraction, 11)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.changes import block_of, hot_groups
-from tidemark.operators.skew import skew_join
+from tidemark.operators.skew import MIN_HEAVY_ROWS, heavy_keys, skew_join
 from tidemark.scratch import Manifest, col, create_text, discard, materialize, names, read_text, scratch_path, size_of
 
 TOMBSTONE, VALUE = 0, 1
@@ -121,62 +121,73 @@ def read_at(reads: DataFrame, versions: DataFrame, key: Sequence[str], seq: str,
     no version, or if a key column or its ``seq`` is null.  ``versions`` has the
     columns ``key``, ``seq`` and ``value``; its other columns are ignored.
 
-    Reads and versions are not paired.  The newest versions come from an
-    aggregate; for the other reads the different (key, seq) asked for and the versions are
-    put in one order of seq, and each takes the last version before it.  A key
-    with very many of them is cut into blocks of its seq range, whose last
-    versions are carried on from block to block.  Answers go back to the reads
-    by a join that keeps heavy keys apart.
+    Reads and versions are not paired: they are put in one order of seq per key
+    and each read takes the last version before it, in one shuffle.  A key with very many of
+    both goes another way: its versions and the different seqs asked for are combined in
+    the tasks that read them and cut into blocks of the seq range, whose last
+    versions are carried on from block to block, and the answers go back to the
+    reads by a join that keeps heavy (key, seq) apart.
     """
     k = [f"k{i}" for i in range(len(key))]
     kept = [f"v{i}" for i in range(len(reads.columns))]
-    hashed = F.xxhash64(*k).alias("h")
 
-    def shaped(df: DataFrame, *more: Column) -> DataFrame:
-        rows = df.select(*[col(c).alias(a) for c, a in zip(key, k)], col(seq).cast("bigint").alias("s"), *more)
-        for a in k:
+    def shaped(df: DataFrame, s: Column, *more: Column) -> DataFrame:
+        rows = df.select(*[col(c).alias(a) for c, a in zip(key, k)], s.cast("bigint").alias("s"), *more)
+        for a in [*k, "s"]:
             rows = rows.where(F.col(a).isNotNull())
-        return rows.where(F.col("s").isNotNull()).select(hashed, "*")
-
-    def answers(asking: DataFrame, found: DataFrame, at: list[str]) -> DataFrame:
-        """Bring ``found`` (one row per ``at``) to the reads."""
-        left = asking.withColumn("lh", F.xxhash64(*at))
-        right = found.select(F.xxhash64(*at).alias("rh"), *[F.col(a).alias(f"r_{a}") for a in at], "x")
-        same = F.lit(True)
-        for a in at:
-            same = same & (F.col(a) == F.col(f"r_{a}"))
-        return skew_join(left, right, "lh", "rh", "left", residual=same).select(*kept, "x")
-
-    stored = shaped(versions, col(value).alias("v")).groupBy("h", *k, "s").agg(F.max(F.struct("v")).alias("v"))
-    stored = stored.select("h", *k, "s", F.struct("s", F.col("v.v").alias("v")).alias("x"))
-    named = reads.select(
-        *[col(c).alias(a) for c, a in zip(key, k)], col(seq).cast("bigint").alias("s"), *[col(c).alias(v) for c, v in zip(reads.columns, kept)]
-    )
-    now = F.coalesce(F.col("s") == latest, F.lit(False))
-    newest_of = stored.groupBy("h", *k).agg(F.max_by("x", "s").alias("x"))
-    out = [answers(named.where(now), newest_of, k)]
-
-    asked = shaped(reads).where(F.col("s") != latest).distinct().select("h", *k, "s", F.lit(None).cast(stored.schema["x"].dataType).alias("x"))
-    events = stored.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1)))
-    order = ["s", "asks"]  # a version at the seq of a read comes before it
-    last = F.last("x", ignorenulls=True)
-    hot = hot_groups(events.withColumnRenamed("s", "seq"), events.count(), target_rows)
+        return rows.select(F.xxhash64(*k).alias("h"), "*")
+
+    # a read at ``latest`` comes after all versions
+    at = F.when(col(seq) == latest, F.lit((1 << 63) - 1)).otherwise(col(seq))
+    known = F.lit(True)
+    for c in (*key, seq):
+        known = known & col(c).isNotNull()
+    stored = shaped(versions, col(seq), col(value).alias("v"))
+    asking = shaped(reads, at, *[col(c).alias(v) for c, v in zip(reads.columns, kept)])
+    nothing = F.lit(None).cast(stored.select(F.struct("s", "v").alias("x")).schema["x"].dataType).alias("x")
+    out = [reads.where(~known).select(*[col(c).alias(v) for c, v in zip(reads.columns, kept)], nothing)]
+
+    total = versions.count() + reads.count()
+    both = stored.select("h", F.col("s").alias("seq")).unionByName(asking.where(F.col("s") != (1 << 63) - 1).select("h", F.col("s").alias("seq")))
+    hot = hot_groups(both, total, target_rows)
     table = F.broadcast(reads.sparkSession.createDataFrame(hot, "hh bigint, lo bigint, hi bigint, blocks int"))
-    cold = events.join(table, F.col("h") == F.col("hh"), "left_anti") if hot else events
-    found = cold.withColumn("x", last.over(Window.partitionBy("h", *k).orderBy(*order))).where("asks = 1").select(*k, "s", "x")
+    is_hot = F.col("h") == F.col("hh")
+
+    def cold(df: DataFrame) -> DataFrame:
+        return df.join(table, is_hot, "left_anti") if hot else df
+
+    # a version at the seq of a read comes before it, and the highest value of a seq last
+    version = F.when(~F.col("asks"), F.struct("s", "v"))
+    order = Window.partitionBy("h", *k).orderBy("s", "asks", "v").rowsBetween(Window.unboundedPreceding, 0)
+    events = cold(stored).withColumn("asks", F.lit(False)).unionByName(cold(asking).withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    out.append(events.withColumn("x", F.last(version, ignorenulls=True).over(order)).where("asks").select(*kept, "x"))
     if hot:
-        cut = events.join(table, F.col("h") == F.col("hh")).select("h", *k, "s", "x", "asks", block_of("s").alias("block"))
-        inside = cut.withColumn("x", last.over(Window.partitionBy("h", *k, "block").orderBy(*order)))
-        ends = cut.groupBy("h", *k, "block").agg(F.max_by("x", F.when(F.col("asks") == 0, F.col("s"))).alias("e"))
-        before = F.last("e", ignorenulls=True).over(Window.partitionBy("h", *k).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-        ends = ends.select("h", *k, "block", before.alias("e"))
-        carried = inside.where("asks = 1").join(ends, ["h", *k, "block"], "left")
-        found = found.unionByName(carried.select(*k, "s", F.coalesce("x", "e").alias("x")))
-    out.append(answers(named.where(~now), found, [*k, "s"]))
-    both = out[0].unionByName(out[1])
-    return both.select(
-        *[F.col(v).alias(c) for c, v in zip(reads.columns, kept)], F.col("x.s").alias("found_seq"), F.col("x.v").alias("found_value")
-    )
+        out.append(_read_hot(stored.join(table, is_hot), asking.join(table, is_hot), k, kept))
+    found = reduce(DataFrame.unionByName, out)
+    return found.select(*[F.col(v).alias(c) for c, v in zip(reads.columns, kept)], F.col("x.s").alias("found_seq"), F.col("x.v").alias("found_value"))
+
+
+def _read_hot(stored: DataFrame, asking: DataFrame, k: list[str], kept: list[str]) -> DataFrame:
+    """Reads of keys with very many rows, which carry their bounds: the ``kept`` columns and ``x``."""
+    place = ["h", *k, "block"]
+    versions = stored.groupBy(*place[:-1], "s", block_of("s").alias("block")).agg(F.max(F.struct("v")).alias("m"))
+    versions = versions.select(*place, "s", F.lit(False).alias("asks"), F.struct("s", F.col("m.v").alias("v")).alias("x"))
+    asked = asking.select(*place[:-1], "s", block_of("s").alias("block")).distinct()
+    asked = asked.select(*place, "s", F.lit(True).alias("asks"), F.lit(None).cast(versions.schema["x"].dataType).alias("x"))
+    last = F.last("x", ignorenulls=True).over(Window.partitionBy(*place).orderBy("s", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    inside = versions.unionByName(asked).withColumn("x", last).where("asks")
+    before = F.last("e", ignorenulls=True).over(Window.partitionBy("h", *k).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    # one row a block; a block without versions passes on what came before it
+    ends = versions.groupBy(*place).agg(F.max_by("x", "s").alias("e")).unionByName(asked.select(*place, F.col("x").alias("e")).distinct())
+    ends = ends.groupBy(*place).agg(F.first("e", ignorenulls=True).alias("e")).withColumn("e", before)
+    found = inside.join(ends, place, "left").select(F.xxhash64(*k, "s").alias("rh"), *[F.col(c).alias(f"r_{c}") for c in (*k, "s")], F.coalesce("x", "e").alias("x"))
+    left = asking.select(F.xxhash64(*k, "s").alias("lh"), *k, "s", *kept)
+    same = F.lit(True)
+    for c in (*k, "s"):
+        same = same & (F.col(c) == F.col(f"r_{c}"))
+    heavy = heavy_keys(left, F.col("lh"), min_rows=MIN_HEAVY_ROWS)
+    # a heavy hash stands for one (key, seq), or for a few that share it
+    return skew_join(left, found, "lh", "rh", "left", residual=same, heavy=heavy, heavy_side_rows=len(heavy)).select(*kept, "x")
 
 
 def approximate_size(log: DataFrame, start=None, end=None) -> DataFrame:
