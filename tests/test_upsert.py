@@ -69,3 +69,11 @@ def test_slices_cover_everything_once(spark, rows):
     parts = slices(df, "run", 3)
     ids = [r["id"] for p in parts for r in p.select("id").collect()]
     assert sorted(ids) == list(range(900))
+
+
+@pytest.mark.parametrize("by, batches", [("one", 4), ("run", 1), ("none", 4)])
+def test_a_single_batch_is_collapsed_too(spark, by, batches):
+    rows = [("a", 1, i, i, None, 1, 1) for i in range(5)] + [("b", 2, 7, 7, None, 2, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"one": F.lit(1), "none": F.lit(None).cast("int")})
+    got = deduplicate(df, ["tenant", "seq"], ["at", "id"], batch_by=by, batches=batches)
+    assert {tuple(r) for r in got.collect()} == {("a", 1, 0, 0, 5), ("b", 2, 7, 7, 1)} and got.count() == 2

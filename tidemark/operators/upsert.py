@@ -105,7 +105,7 @@ class UpsertStore:
         there are that many: the upkeep of a store that takes batches for ever.
         """
         chosen = self.runs.entries() if fan_in is None else self.runs.to_merge(fan_in)
-        if chosen and (len(chosen) > 1 or len(chosen[0]["parts"]) > 1):
+        if len(chosen) > 1 or any(not e.get("merged") for e in chosen):  # what was merged alone has one row per identifier
             self.runs.merge(chosen, self._collapse(self.runs.read(chosen), F.col("copies")))
         return self.merged()
 

@@ -351,7 +351,7 @@ class BucketedRuns:
         """Put ``df``, which says what the runs of ``entries`` say, in their place as one run."""
         part = self._new_part()
         self._store(df, {part: None})
-        entry = {"parts": [part], "runs": _intervals([i for e in entries for i in e["runs"]]), "bytes": self._size(part)}
+        entry = {"parts": [part], "runs": _intervals([i for e in entries for i in e["runs"]]), "bytes": self._size(part), "merged": True}
         gone = self._retired
         self._commit([*[e for e in self._entries if e not in entries], entry], [p for e in entries for p in e["parts"]])
         self._remove(gone)
