@@ -9,6 +9,7 @@ ordinary way and gets the same result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.scratch import col, shuffle_partitions
+from tidemark.scratch import col, own_columns, shuffle_partitions
 
 #: Rows that the heavy-key sample has at most on average.
 SAMPLE_ROWS = 400_000
@@ -24,6 +25,10 @@ SAMPLE_ROWS = 400_000
 MIN_HEAVY_ROWS = 50_000
 #: Rows of the smaller side that may be broadcast for heavy keys.
 BROADCAST_ROWS = 100_000
+#: Pairs of one key up to which a full join is left to Spark, whose generated code holds them all in memory.
+KEY_PAIRS = 100_000
+#: Pairs that a task of a spread full join makes.
+TASK_PAIRS = 20_000_000
 
 
 def balanced_share(spark: SparkSession) -> float:
@@ -137,6 +142,74 @@ def skew_join(
     return out
 
 
+def full_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Column,
+    keys: Sequence[tuple[Column, Column]],
+    *,
+    residual: bool = True,
+    key_pairs: int = KEY_PAIRS,
+    task_pairs: int = TASK_PAIRS,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame | None:
+    """Full join that hands its rows on one by one; None if no key has more than ``key_pairs`` pairs.
+
+    ``on`` is the condition, ``keys`` the pairs of expressions it sets equal, ``residual`` tells whether it
+    says more.  Pairs are counted by key first.  The side with more rows of a key keeps all its rows in a left
+    join with the other; rows of the other side that match nothing come from an anti-join.  If the other side
+    has at most ``broadcast_rows`` rows, it is broadcast and the first is dealt evenly to the tasks; otherwise
+    keys with more than ``task_pairs`` pairs (so their number is bounded by that of the result's rows) are cut
+    into salts, for each of which the other side's rows of the key are copied.  Both sides are read more than
+    once, so they must give the same rows each time.  Columns are those of ``left``, then of ``right``.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+
+    def counted(df: DataFrame, side: int) -> DataFrame:
+        return df.groupBy(*[k[side].alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias(f"__n{side}"))
+
+    n0, n1 = (F.coalesce(F.col(f"__n{side}"), F.lit(0)).cast("double") for side in (0, 1))
+    counts = counted(left, 0).join(counted(right, 1), names, "full").select(*names, n0.alias("__n0"), n1.alias("__n1"))
+    pairs = F.col("__n0") * F.col("__n1")
+    matched = F.when(pairs > 0, F.struct(F.greatest("__n0", "__n1").alias("n"), (F.col("__n1") > F.col("__n0")).alias("right")))
+    seen = counts.agg(F.max(pairs).alias("most"), F.sum(pairs).alias("pairs"), F.max(matched).alias("longest")).collect()[0]
+    if (seen["most"] or 0) <= key_pairs:
+        return None
+    # the side that a row of the other one meets piece by piece is the one with fewer rows of a key
+    at = int(seen["longest"]["right"])
+    large, small = (right, left) if at else (left, right)
+    parts = max(shuffle_partitions(left.sparkSession), math.ceil(seen["pairs"] / task_pairs))
+    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joined = large.repartition(parts).join(F.broadcast(small), on, "left")
+    else:
+        weight = F.greatest(pairs, "__n0", "__n1")
+        cut = counts.where(weight > task_pairs).select(*names, F.ceil(weight / task_pairs).cast("int").alias("__salts"))
+        listed = cut.collect()
+
+        def salted(df: DataFrame, side: int, salt: Column, name: str) -> DataFrame:
+            own = own_columns(df)
+            same = [k[side] == F.col(n) for k, n in zip(keys, names)]
+            cuts = df.sparkSession.createDataFrame(listed, cut.schema)
+            found = df.join(F.broadcast(cuts), functools.reduce(lambda a, b: a & b, same), "left").select(*own, salt.alias(name))
+            return found.repartition(parts, *[k[side] for k in keys], F.col(name))
+
+        # rows without a key match nothing and need not be gathered; the task's number spreads rows that are alike in everything
+        keyless = functools.reduce(lambda a, b: a | b, [k[at].isNull() for k in keys])
+        salts = F.when(keyless, parts).otherwise(F.coalesce("__salts", F.lit(1)))
+        hashed = [c for c, f in zip(own_columns(large), large.schema) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+        dealt = salted(large, at, F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), salts).cast("int"), "__salt_l")
+        copied = salted(small, 1 - at, F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)), "__salt_r")
+        joined = dealt.join(copied, on & (F.col("__salt_l") == F.col("__salt_r")), "left")
+    if residual:
+        alone = small.join(large, on, "left_anti")
+    else:
+        there = counted(large, at).select(*names)
+        alone = small.join(there, functools.reduce(lambda a, b: a & b, [k[1 - at] == F.col(n) for k, n in zip(keys, names)]), "left_anti")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in large.schema]
+    rest = [c.alias(f.name) for c, f in zip(own_columns(small), small.schema)]
+    return joined.select(*own_columns(left), *own_columns(right)).union(alone.select(*(rest + empty if at else empty + rest)))
+
+
 def per_key_results(
     fact: DataFrame,
     key: str,

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,6 +143,17 @@ def discard(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def column_of(spark: SparkSession, expression: JavaObject) -> Column:
+    """A Catalyst expression as a column."""
+    return Column(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, also where names repeat, and in frames made from it."""
+    attributes = df._jdf.queryExecution().analyzed().output()
+    return [column_of(df.sparkSession, attributes.apply(i)) for i in range(attributes.size())]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
