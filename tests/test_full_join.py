@@ -92,3 +92,45 @@ def test_sides_that_may_change_are_read_once(spark, crowded):
             e.register_parquet(t, f"{crowded}/{t}.parquet")
         df = e.sql("select t.c_custkey, s.s_suppkey from (select c_custkey, c_nationkey from customer limit 800) t full join supplier s on t.c_nationkey = s.s_nationkey")
         assert "FullOuter" in nodes(df)
+
+
+def test_rows_without_a_match_hold_no_key(spark, tmp_path):
+    """250,000 customers of one nation: the anti-join on the whole condition would hold them all."""
+    import duckdb
+
+    d, i = f"file://{tmp_path}", F.col("id")
+    spark.range(250_000).select(i.alias("c_custkey"), F.when(i % 50 > 0, 1).cast("int").alias("c_nationkey"), (i % 1000).cast("double").alias("c_acctbal")).write.parquet(f"{d}/customer.parquet")
+    spark.range(20).select(i.alias("s_suppkey"), F.when(i < 18, 1).otherwise(2).cast("int").alias("s_nationkey"), (990 + i % 12).cast("double").alias("s_acctbal")).write.parquet(f"{d}/supplier.parquet")
+    df = reference.queries()["j5_full_residual"](spark, d)
+    plan = nodes(df)
+    assert "LeftSemi" in plan and not [x for x in plan.splitlines() if "LeftAnti" in x and ">" in x.partition("LeftAnti")[2]]
+    duck = duckdb.connect()
+    for t in ("customer", "supplier"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    same_as_oracle(df, duck, reference.SQL["j5_full_residual"])
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "task_pairs": 40}])
+def test_cut_anti_join_equals_plain_join(spark, swapped, options):
+    r = random.Random(6)
+    many = [(r.choice([None, "hot", "hot", "a"]), r.choice([None, 0.0, 1.0, 2.0, float("nan")]), r.randrange(20)) for _ in range(300)]
+    few = [(r.choice([None, "hot", "a", "b"]), r.choice([None, 0.0, -0.0, 1.0, 2.0, float("nan")]), r.randrange(20)) for _ in range(80)]
+    left = spark.createDataFrame(few if swapped else many, "k string, j double, v int")
+    right = spark.createDataFrame(many if swapped else few, "q string, p double, w int")
+    sign = (left.j if swapped else right.p).cast("string") != "-0.0"
+    on = (left.k == right.q) & (left.j > right.p - 1 if swapped else left.j - 1 < right.p) & sign
+    got = full_join(left, right, on, [(left.k, right.q)], key_pairs=5, held_rows=7, **options)
+    want = left.join(right, on, "full")
+    assert nodes(got).count("LeftSemi") == 1 and "FullOuter" not in nodes(got)
+    assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
+
+
+def test_columns_that_cannot_be_compared(spark):
+    left = spark.createDataFrame([("hot", i, {"x": i % 5}) for i in range(40)], "k string, v int, m map<string,int>")
+    right = spark.createDataFrame([("hot", i, {"x": i}) for i in range(8)], "q string, w int, n map<string,int>")
+    for on, cut in ((left.v < right.w, 1), (left.m["x"] == right.n["x"] + right.w, 0), (left.m["x"] > right.w, 1)):
+        on = (left.k == right.q) & on
+        got = full_join(left, right, on, [(left.k, right.q)], key_pairs=5, held_rows=7)
+        assert nodes(got).count("LeftSemi") == cut
+        assert Counter(map(str, got.collect())) == Counter(map(str, left.join(right, on, "full").collect()))

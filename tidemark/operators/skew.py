@@ -29,6 +29,8 @@ BROADCAST_ROWS = 100_000
 KEY_PAIRS = 100_000
 #: Pairs that a task of a spread full join makes.
 TASK_PAIRS = 20_000_000
+#: Rows of one key that an anti-join on more than the key may hold in memory: Spark keeps all that a row is compared with.
+HELD_ROWS = 200_000
 
 
 def balanced_share(spark: SparkSession) -> float:
@@ -142,6 +144,16 @@ def skew_join(
     return out
 
 
+def _unequal(kind: T.DataType) -> bool:
+    """Values of the type cannot be compared or hashed."""
+    return any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
+def _loose(kind: T.DataType) -> bool:
+    """Values of the type may be equal and still not alike."""
+    return any(x in kind.simpleString() for x in ("float", "double", "collate"))
+
+
 def full_join(
     left: DataFrame,
     right: DataFrame,
@@ -152,6 +164,7 @@ def full_join(
     key_pairs: int = KEY_PAIRS,
     task_pairs: int = TASK_PAIRS,
     broadcast_rows: int = BROADCAST_ROWS,
+    held_rows: int = HELD_ROWS,
 ) -> DataFrame | None:
     """Full join that hands its rows on one by one; None if no key has more than ``key_pairs`` pairs.
 
@@ -160,8 +173,10 @@ def full_join(
     join with the other; rows of the other side that match nothing come from an anti-join.  If the other side
     has at most ``broadcast_rows`` rows, it is broadcast and the first is dealt evenly to the tasks; otherwise
     keys with more than ``task_pairs`` pairs (so their number is bounded by that of the result's rows) are cut
-    into salts, for each of which the other side's rows of the key are copied.  Both sides are read more than
-    once, so they must give the same rows each time.  Columns are those of ``left``, then of ``right``.
+    into salts, for each of which the other side's rows of the key are copied.  The anti-join holds the first
+    side's rows of a key if ``residual``: keys with more than ``held_rows`` are cut likewise, and a row is alone if
+    no salt has a match.  Both sides are read more than once, so they must give the same rows each time.  Columns
+    are those of ``left``, then of ``right``.
     """
     names = [f"__k{i}" for i in range(len(keys))]
 
@@ -179,29 +194,44 @@ def full_join(
     at = int(seen["longest"]["right"])
     large, small = (right, left) if at else (left, right)
     parts = max(shuffle_partitions(left.sparkSession), math.ceil(seen["pairs"] / task_pairs))
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = large.repartition(parts).join(F.broadcast(small), on, "left")
-    else:
-        weight = F.greatest(pairs, "__n0", "__n1")
-        cut = counts.where(weight > task_pairs).select(*names, F.ceil(weight / task_pairs).cast("int").alias("__salts"))
-        listed = cut.collect()
+
+    def cut(few: DataFrame, weight: Column, most: int) -> tuple[DataFrame, DataFrame, Column]:
+        """``large`` dealt to the salts of keys that weigh more than ``most``, ``few`` copied for each, and what joins them."""
+        found = counts.where(weight > most).select(*names, F.ceil(weight / most).cast("int").alias("__salts"))
+        listed = found.collect()
 
         def salted(df: DataFrame, side: int, salt: Column, name: str) -> DataFrame:
             own = own_columns(df)
             same = [k[side] == F.col(n) for k, n in zip(keys, names)]
-            cuts = df.sparkSession.createDataFrame(listed, cut.schema)
-            found = df.join(F.broadcast(cuts), functools.reduce(lambda a, b: a & b, same), "left").select(*own, salt.alias(name))
-            return found.repartition(parts, *[k[side] for k in keys], F.col(name))
+            cuts = df.sparkSession.createDataFrame(listed, found.schema)
+            met = df.join(F.broadcast(cuts), functools.reduce(lambda a, b: a & b, same), "left").select(*own, salt.alias(name))
+            return met.repartition(parts, *[k[side] for k in keys], F.col(name))
 
         # rows without a key match nothing and need not be gathered; the task's number spreads rows that are alike in everything
         keyless = functools.reduce(lambda a, b: a | b, [k[at].isNull() for k in keys])
         salts = F.when(keyless, parts).otherwise(F.coalesce("__salts", F.lit(1)))
-        hashed = [c for c, f in zip(own_columns(large), large.schema) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+        hashed = [c for c, f in zip(own_columns(large), large.schema) if not _unequal(f.dataType)]
         dealt = salted(large, at, F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), salts).cast("int"), "__salt_l")
-        copied = salted(small, 1 - at, F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)), "__salt_r")
-        joined = dealt.join(copied, on & (F.col("__salt_l") == F.col("__salt_r")), "left")
+        copied = salted(few, 1 - at, F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)), "__salt_r")
+        return dealt, copied, on & (F.col("__salt_l") == F.col("__salt_r"))
+
+    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joined = large.repartition(parts).join(F.broadcast(small), on, "left")
+    else:
+        dealt, copied, both = cut(small, F.greatest(pairs, "__n0", "__n1"), task_pairs)
+        joined = dealt.join(copied, both, "left")
     if residual:
         alone = small.join(large, on, "left_anti")
+        asked = alone._jdf.queryExecution().analyzed().condition().get().references()
+        attributes = small._jdf.queryExecution().analyzed().output()
+        told = [(c, f.dataType) for i, (c, f) in enumerate(zip(own_columns(small), small.schema)) if asked.contains(attributes.apply(i))]
+        if seen["longest"]["n"] > held_rows and not any(_unequal(t) for _, t in told):
+            dealt, copied, both = cut(small.select(*[c for c, _ in told]), F.col(f"__n{at}"), held_rows)
+            met = copied.join(dealt, both, "left_semi").select(*[c.alias(f"__c{i}") for i, (c, _) in enumerate(told)])
+            # rows that the condition cannot tell apart match alike; values may be equal and still not alike, as 0.0 and -0.0
+            alike = [c.eqNullSafe(F.col(f"__c{i}")) for i, (c, _) in enumerate(told)]
+            alike += [c.cast("string").eqNullSafe(F.col(f"__c{i}").cast("string")) for i, (c, t) in enumerate(told) if _loose(t)]
+            alone = small.join(met, functools.reduce(lambda a, b: a & b, alike), "left_anti")
     else:
         there = counted(large, at).select(*names)
         alone = small.join(there, functools.reduce(lambda a, b: a & b, [k[1 - at] == F.col(n) for k, n in zip(keys, names)]), "left_anti")
